@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing, token_files
+from . import chat, langid, packing, token_files, toxicity
 
 QUERIES = {
     "op2_token_files": token_files.query,
+    "op4_chat": chat.query,
     "op5_packing": packing.query,
+    "op8_toxicity": toxicity.query,
+    "op9_language_id": langid.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_chat": chat.SQL}
