@@ -43,10 +43,8 @@ def serialize(ids: np.ndarray, width: int) -> bytes:
 def train_dictionary(docs: DataFrame, path: str, n_docs: int = DICT_DOCS, size: int = DICT_BYTES) -> tuple[bytes, int]:
     """Dictionary bytes (empty where the sample is too small to train on) and id width. Driver memory is bounded by
     n_docs and by 20,000 characters taken of each for training."""
-    sample = [
-        (r[0] or "").encode()
-        for r in docs.select(F.substring("text", 1, 20_000).alias("text"), F.xxhash64("doc_id").alias("h")).orderBy("h", "text").limit(n_docs).select("text").toLocalIterator()
-    ]
+    least = docs.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(n_docs).select("doc_id").distinct()
+    sample = [(r[0] or "").encode() for r in docs.select("doc_id", F.substring("text", 1, 20_000).alias("text")).join(F.broadcast(least), "doc_id").orderBy("doc_id", "text").select("text").limit(n_docs).toLocalIterator()]
     tok = tokens.opened(path)
     width = 2 if tok.library.get_vocab_size() <= 1 << 16 else 4
     samples = [serialize(np.frombuffer(b, "<u4"), width) for b in tok.encode(sample) if b]

@@ -13,7 +13,9 @@ from itertools import chain
 import numpy as np
 
 #: Words whose ids a worker keeps; words met later are encoded each time they occur.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 1_400_000
+#: Words of one call to the library.
+JOINED = 2000
 _OPEN: dict[str, "WordTokenizer"] = {}
 
 
@@ -25,12 +27,30 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         self.memo: dict[bytes, bytes] = {}
         self.memo_words = memo_words
+        self.closes = np.zeros(self.library.get_vocab_size() + 1, bool)
+        for word, i in self.library.get_vocab().items():
+            self.closes[i] = word.endswith("</w>")
         self.special = sorted({t.content[:2].lower().encode() for t in self.library.get_added_tokens_decoder().values()})
 
     def _direct(self, words: list[bytes]) -> list[bytes]:
         found = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
+    def _letters(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words of letters alone. Each is one unit of the splitter and ends where an id closes a word, so many
+        go to the library as one text."""
+        out = {}
+        for i in range(0, len(words), JOINED):
+            some = words[i : i + JOINED]
+            ids = np.array(self.library.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = (np.nonzero(self.closes[ids])[0] + 1) * 4
+            if len(cuts) != len(some):
+                out.update(zip(some, self._direct(some)))
+                continue
+            raw, cuts = ids.tobytes(), [0, *cuts.tolist()]
+            out.update(zip(some, (raw[a:b] for a, b in zip(cuts, cuts[1:]))))
+        return out
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each UTF-8 text, as little-endian unsigned 32-bit integers."""
         words: list[list[bytes] | None] = []
@@ -44,8 +64,10 @@ class WordTokenizer:
             plain = new.difference(stem)
             plain.update(s for s in stem.values() if s not in memo)
             plain.update(m for m in (b".", b",") if m not in memo)
-            plain = list(plain)
-            more = dict(zip(plain, self._direct(plain)))
+            letters = [w for w in plain if w.decode("utf-8", "replace").lower().isalpha()]
+            more = self._letters(letters)
+            plain = list(plain.difference(letters))
+            more.update(zip(plain, self._direct(plain)))
             for w, s in stem.items():
                 more[w] = (memo.get(s) or more.get(s, b"")) + (memo.get(w[-1:]) or more[w[-1:]])
             if len(memo) + len(more) <= self.memo_words:
