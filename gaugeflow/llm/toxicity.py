@@ -23,9 +23,9 @@ BITS = 20
 NGRAMS = (3, 4, 5)
 PIECE_CHARS = 400_000
 #: Bounds of the labelled sample that fits the model, toxic and other; the rows with the least hashes are taken.
-MAX_TOXIC, MAX_OTHER = 8_000, 12_000
+MAX_TOXIC, MAX_OTHER = 5_000, 10_000
 MIN_Z = 6.0
-MAX_FEATURES = 40_000
+MAX_FEATURES = 10_000
 
 
 @dataclass(frozen=True)
@@ -134,22 +134,20 @@ def fit(sample: DataFrame, priors: tuple[int, int], rounds: int = 300, ridge: fl
                 yield pa.RecordBatch.from_arrays([toxic.slice(at, len(part)).cast(pa.int32()), pa.array([found[a:z].tobytes() for a, z in zip(cut, cut[1:])], pa.binary())], ["toxic", "found"])
                 at += len(part)
 
-    got = sample.mapInArrow(index, "toxic int, found binary").toPandas()
-    y = got["toxic"].to_numpy(float)
-    cols = [np.frombuffer(x, np.int32) for x in got["found"]]
-    col = np.concatenate(cols)
-    row = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
-    order = np.lexsort((col, row))  # the result must not hang on the order of partitions
-    row, col = row[order], col[order]
+    got = sorted((bytes(r["found"]), r["toxic"]) for r in sample.mapInArrow(index, "toxic int, found binary").toLocalIterator())
+    y = np.array([t for _, t in got], float)
+    col = np.frombuffer(b"".join(f for f, _ in got), np.int32)
+    row = np.repeat(np.arange(len(got), dtype=np.int32), [len(f) // 4 for f, _ in got])
     weight = np.where(y == 1, max(all1, 1) / n1, max(all0, 1) / n0)
     weight = weight / weight.sum()
+    del got
     return Model(buckets, *logistic(row, col, ratio, y, weight, float(prior), rounds, ridge))
 
 
 def logistic(row, col, ratio, y, weight, prior: float, rounds: int, ridge: float) -> tuple[np.ndarray, float]:
     """Accelerated gradient descent on the weighted logistic loss over x = ratio * presence, with a ridge penalty."""
     size = np.bincount(col, minlength=len(ratio))
-    x = ratio[col]
+    x = ratio.astype(np.float32)[col]
     v, top = np.ones(len(ratio)), 1.0
     for _ in range(20):  # the largest eigenvalue of the weighted second moments bounds the curvature
         v = np.bincount(col, x * (weight * np.bincount(row, x * v[col], minlength=len(y)))[row], minlength=len(ratio))
