@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +39,36 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         mark = tuple(found)
     raise RuntimeError("the components didn't settle")
+
+
+def bucket_members(banded: DataFrame) -> DataFrame:
+    """banded: (key, node). (key, lead, node) of the buckets that hold two nodes at least; lead is the least of them."""
+    shared = banded.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where(F.col("lead") != F.col("last")).select("key", "lead")
+    return banded.join(shared, "key").select("key", "lead", "node").distinct()
+
+
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+    """Components of the similarity that verify decides on pairs (a, b), candidates being the pairs within a bucket.
+
+    Every node is compared with its bucket's lead. Then, as long as a bucket holds several components, its nodes are
+    compared with 8, 64, 512, ... of its nodes, up to all of them, other components' only and no pair twice; which
+    nodes come in which round is drawn from a hash, so no task sorts a bucket. The result misses no link between
+    components that the candidates hold, and a bucket of copies of one text is settled by one comparison a node.
+    """
+    checked = scratch.write(members.where(F.col("lead") != F.col("node")).select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct(), "pairs")
+    edges = [scratch.write(verify(checked), "edges")]
+    done, upto = 0, 8
+    while True:
+        found = scratch.write(components(reduce(DataFrame.unionByName, edges), scratch), "found")
+        of = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+        still = of.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where((F.col("lo") != F.col("hi")) & (F.col("n") > max(2, done)))
+        u = F.pmod(F.xxhash64("node", "key"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("n")
+        rest = scratch.write(of.join(still.select("key", "n"), "key").withColumn("u", u), "rest")
+        if rest.isEmpty():
+            return found
+        lead = rest.where((F.col("u") >= done) & (F.col("u") < upto)).select("key", F.col("node").alias("x"), F.col("c").alias("cx"))
+        new = rest.join(lead, "key").where(F.col("c") != F.col("cx")).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
+        new = scratch.write(new, "pairs")
+        edges.append(scratch.write(verify(new), "edges"))
+        checked = checked.unionByName(new)
+        done, upto = upto, upto * 8

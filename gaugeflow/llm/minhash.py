@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, bound_batches, mix64, pieces, table, utf8
-from .graph import components
+from .graph import bucket_members, link_buckets
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -233,36 +233,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
     signed = scratch.write(sign(docs), "signed")
     some = signed.where(F.col("node").isNotNull())
     banded = some.select("node", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where(F.col("lead") != F.col("last")).select("key", "lead")
-    members = scratch.write(banded.join(shared, "key").select("key", "lead", "node").distinct(), "members")
+    members = scratch.write(bucket_members(banded), "members")
     who = members.select("node").distinct()
     n = who.count()
     small = n <= BROADCAST_ROWS
     found = None
-    edges = []
     if n:
         reps = scratch.write(some.join(F.broadcast(who) if small else who, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("sig").alias("sig")), "reps")
         nodes = scratch.write(_texts(docs, reps, small).join(reps.select("node", "sig"), "node"), "nodes")
-        pairs = members.where(F.col("lead") != F.col("node")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-        checked = scratch.write(pairs, "pairs")
-        edges.append(scratch.write(_verify(checked, nodes, threshold), "edges"))
-        done, upto = 0, 8
-        while True:
-            union = edges[0]
-            for e in edges[1:]:
-                union = union.unionByName(e)
-            found = scratch.write(components(union, scratch), "found")
-            of = members.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).select("key", "node", "c")
-            open_ = of.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where((F.col("lo") != F.col("hi")) & (F.col("n") > max(2, done)))
-            rest = scratch.write(of.join(open_.select("key", "n"), "key").withColumn("u", F.pmod(F.xxhash64("node", "key"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("n")), "rest")
-            if rest.isEmpty():
-                break
-            lead = rest.where((F.col("u") >= done) & (F.col("u") < upto)).select("key", F.col("node").alias("x"), F.col("c").alias("cx"))
-            new = rest.join(lead, "key").where(F.col("c") != F.col("cx")).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
-            new = scratch.write(new, "pairs")
-            edges.append(scratch.write(_verify(new, nodes, threshold), "edges"))
-            checked = checked.unionByName(new)
-            done, upto = upto, upto * 8
+        found = link_buckets(members, lambda pairs: _verify(pairs, nodes, threshold), scratch)
     rows = signed.select("doc_id", "node")
     if found is None:
         found = rows.select("node", F.col("node").alias("component")).limit(0)

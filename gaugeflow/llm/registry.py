@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, langid, minhash, packing, token_files, toxicity
+from . import chat, langid, linedup, minhash, packing, token_files, toxicity
 
 QUERIES = {
     "op2_token_files": token_files.query,
     "op3_minhash": minhash.query,
     "op4_chat": chat.query,
     "op5_packing": packing.query,
+    "op6_line_dedup": linedup.query,
     "op8_toxicity": toxicity.query,
     "op9_language_id": langid.query,
 }
