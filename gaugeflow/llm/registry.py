@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, langid, linedup, minhash, packing, token_files, toxicity
+from . import chat, embeddings, langid, linedup, minhash, packing, token_files, toxicity
 
 QUERIES = {
+    "op1_embeddings": embeddings.query,
     "op2_token_files": token_files.query,
     "op3_minhash": minhash.query,
     "op4_chat": chat.query,
