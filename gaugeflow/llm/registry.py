@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embeddings, langid, linedup, minhash, packing, token_files, toxicity
+from . import chat, embeddings, langid, linedup, media, minhash, packing, token_files, toxicity
 
 QUERIES = {
     "op1_embeddings": embeddings.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_chat": chat.query,
     "op5_packing": packing.query,
     "op6_line_dedup": linedup.query,
+    "op7_media": media.query,
     "op8_toxicity": toxicity.query,
     "op9_language_id": langid.query,
 }
