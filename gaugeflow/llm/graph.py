@@ -41,19 +41,33 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     raise RuntimeError("the components didn't settle")
 
 
-def bucket_members(banded: DataFrame) -> DataFrame:
-    """banded: (key, node). (key, lead, node) of the buckets that hold two nodes at least; lead is the least of them."""
-    shared = banded.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where(F.col("lead") != F.col("last")).select("key", "lead")
-    return banded.join(shared, "key").select("key", "lead", "node").distinct()
+def bucket_members(banded: DataFrame, scratch: Scratch) -> DataFrame:
+    """banded: (key, node), distinct. (key, lead, node) of the buckets that hold two nodes at least. The lead is the node
+    whose buckets are largest in sum, the least of such: among copies of one text that is the text they come from, to
+    which they are more similar than to each other."""
+    shared = banded.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where(F.col("lo") != F.col("hi")).select("key", "n")
+    members = scratch.write(banded.join(shared, "key").select("key", "node", "n"), "sized")
+    crowd = members.groupBy("node").agg(F.sum("n").alias("crowd"))
+    ranked = scratch.write(members.join(crowd, "node").select("key", "node", "crowd"), "ranked")
+    lead = ranked.groupBy("key").agg(F.min(F.struct(-F.col("crowd"), "node")).alias("m")).select("key", F.col("m.node").alias("lead"))
+    out = scratch.write(ranked.join(lead, "key").select("key", "lead", "node"), "members")
+    scratch.drop(members, ranked)
+    return out
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+#: Members of one block of a bucket that is compared block by block.
+BLOCK = 256
+
+
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, blocks: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Components of the similarity that verify decides on pairs (a, b), candidates being the pairs within a bucket.
 
-    Every node is compared with its bucket's lead. Then, as long as a bucket holds several components, its nodes are
-    compared with 8, 64, 512, ... of its nodes, up to all of them, other components' only and no pair twice; which
-    nodes come in which round is drawn from a hash, so no task sorts a bucket. The result misses no link between
-    components that the candidates hold, and a bucket of copies of one text is settled by one comparison a node.
+    Every node is compared with its bucket's lead, so copies of one text are settled by a comparison each. Of a bucket
+    that still holds several components, all other pairs are decided too, as far as they lie in two of them, so the
+    result misses no link between components that the candidates hold. With `blocks` that happens block by block: it
+    gets the members of pairs of blocks (key, i, j, left, right, node, c) and returns edges (a, b) between left and right.
+    Without, pairs are made with 8, 64, 512, ... of a bucket's nodes, up to all, until one component is left; which
+    nodes come in which round is drawn from a hash, so no task sorts a bucket.
     """
     checked = scratch.write(members.where(F.col("lead") != F.col("node")).select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct(), "pairs")
     edges = [scratch.write(verify(checked), "edges")]
@@ -62,11 +76,16 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], s
         found = scratch.write(components(reduce(DataFrame.unionByName, edges), scratch), "found")
         of = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
         still = of.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where((F.col("lo") != F.col("hi")) & (F.col("n") > max(2, done)))
-        u = F.pmod(F.xxhash64("node", "key"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("n")
-        rest = scratch.write(of.join(still.select("key", "n"), "key").withColumn("u", u), "rest")
+        rest = scratch.write(of.join(still.select("key", "n"), "key"), "rest")
         if rest.isEmpty():
             return found
-        lead = rest.where((F.col("u") >= done) & (F.col("u") < upto)).select("key", F.col("node").alias("x"), F.col("c").alias("cx"))
+        if blocks is not None:
+            n = F.ceil(F.col("n") / BLOCK).cast("int")
+            dealt = rest.select("key", "node", "c", F.pmod(F.xxhash64("node", "key"), n).cast("int").alias("h"), F.explode(F.sequence(F.lit(0), n - 1)).alias("t"))
+            edges.append(scratch.write(blocks(dealt.select("key", F.least("h", "t").alias("i"), F.greatest("h", "t").alias("j"), (F.col("h") <= F.col("t")).alias("left"), (F.col("h") >= F.col("t")).alias("right"), "node", "c")), "edges"))
+            return scratch.write(components(reduce(DataFrame.unionByName, edges), scratch), "found")
+        u = F.pmod(F.xxhash64("node", "key"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("n")
+        lead = rest.where((u >= done) & (u < upto)).select("key", F.col("node").alias("x"), F.col("c").alias("cx"))
         new = rest.join(lead, "key").where(F.col("c") != F.col("cx")).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
         new = scratch.write(new, "pairs")
         edges.append(scratch.write(verify(new), "edges"))

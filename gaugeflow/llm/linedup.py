@@ -71,7 +71,7 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD, scratch: Scratch
     met = lines(docs).select(F.xxhash64("line").alias("node"), F.struct("doc_id", "pos").alias("at"), F.slice(shingles(F.col("line")), 1, SKETCH).alias("sketch"), F.crc32(F.col("line").cast("binary")).alias("crc"))
     nodes = met.groupBy("node").agg(F.min("at").alias("at"), F.min("sketch").alias("sketch"), F.count("*").alias("n"), F.min("crc").alias("c1"), F.max("crc").alias("c2"))
     nodes = scratch.write(nodes.where(F.col("c1") == F.col("c2")).drop("c1", "c2"), "nodes")
-    members = scratch.write(bucket_members(nodes.select("node", F.explode(bands(F.col("sketch"))).alias("key"))), "members")
+    members = bucket_members(nodes.select("node", F.explode(F.array_distinct(bands(F.col("sketch")))).alias("key")), scratch)
     who = scratch.write(members.select("node").distinct(), "who")
     small = who.count() <= BROADCAST_ROWS
     own = lines(docs).select(F.xxhash64("line").alias("node"), "line").join(F.broadcast(who) if small else who, "node", "left_semi")

@@ -7,8 +7,8 @@ J_P = sum over common d of 1 / sum_e max(x_e / x_d, y_e / y_d). Bands of registe
 the plain Jaccard of the distinct shingles, if that is larger) decides.
 
 Texts with the same shingles and counts are one node from the start, so exact copies cost one row each and no pair.
-A bucket's nodes are first compared with the bucket's least node. Buckets that still hold several components are
-compared with more and more of their nodes, up to all, so no link between components is lost to a bucket's size.
+A bucket's nodes are first compared with the node that shares most buckets. What a bucket then still holds of several
+components is compared block by block, so no link between components is lost to a bucket's size.
 """
 
 from __future__ import annotations
@@ -157,6 +157,24 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return jp, float(both.sum() / len(ids))
 
 
+def similar(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], threshold: float) -> bool:
+    common = len(np.intersect1d(a[0], b[0], assume_unique=True))
+    if common >= threshold * (len(a[0]) + len(b[0]) - common) - 1e-9:
+        return True
+    # without repeated shingles both measures are one
+    return bool(common and (a[1].max() > 1 or b[1].max() > 1) and similarity(a, b)[0] >= threshold - 1e-12)
+
+
+def _sets(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Shingle hashes, ascending, and counts of each text; texts may be more than a batch has."""
+    out = []
+    for i in range(0, len(column), 1024):
+        for _, at, h, count, words in shingles(column.slice(i, 1024)):
+            cut = np.searchsorted(at, np.arange(len(words) + 1))
+            out += [(h[x:y], count[x:y].astype(float)) for x, y in zip(cut, cut[1:])]
+    return out
+
+
 def sign(docs: DataFrame) -> DataFrame:
     """doc_id, node (null where the text has no word), sig, bands."""
     bound_batches(docs.sparkSession)
@@ -206,15 +224,8 @@ def _verify(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array((s == t).mean(1) >= LEAST_AGREED)) if b.num_rows else b.select(["a", "b"])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sets(column):
-            out = []
-            for _, at, h, count, words in shingles(column):
-                cut = np.searchsorted(at, np.arange(len(words) + 1))
-                out += [(h[x:y], count[x:y].astype(float)) for x, y in zip(cut, cut[1:])]
-            return out
-
         for b in batches:
-            keep = [max(similarity(x, y)) >= threshold - 1e-12 for x, y in zip(sets(b.column("ta")), sets(b.column("tb")))]
+            keep = [similar(x, y, threshold) for x, y in zip(_sets(b.column("ta")), _sets(b.column("tb")))]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda df, a, **cols: df.join(nodes.select(F.col("node").alias(a), *(F.col(c).alias(n) for n, c in cols.items())), a)
@@ -222,6 +233,50 @@ def _verify(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return side(side(near, "a", ta="text"), "b", tb="text").select("a", "b", "ta", "tb").mapInArrow(exact, "a binary, b binary")
 
 
+def _block_edges(nodes: DataFrame, threshold: float):
+    """Decides the pairs of two blocks of a bucket within one row, so that pairs that fail are never rows. A pair counts
+    in the first band that its texts share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple[bytes, bytes]] = []
+            for key, m in zip(b.column("key").to_pylist(), b.column("m")):
+                flat = m.values
+                node = flat.field("node").to_pylist()
+                c = np.unique(flat.field("c").to_pylist(), return_inverse=True)[1]
+                left, right = (np.nonzero(flat.field(k).to_numpy(zero_copy_only=False))[0] for k in ("left", "right"))
+                sig = np.frombuffer(b"".join(flat.field("sig").to_pylist()), np.uint32).reshape(len(node), -1)
+                band = bands(sig)
+                x, y = (v.ravel() for v in np.meshgrid(left, right, indexing="ij"))
+                # in a block against itself each pair comes once
+                ok = (c[x] != c[y]) & ((x < y) | ~(np.isin(x, right) & np.isin(y, left)))
+                x, y = x[ok], y[ok]
+                first = np.full(len(x), -1)
+                for k in range(band.shape[1] - 1, -1, -1):
+                    first[band[x, k] == band[y, k]] = k
+                ok = band[x, first] == key
+                x, y = x[ok], y[ok]
+                if not len(x):
+                    continue
+                agreed = np.zeros(len(x))
+                for k in range(sig.shape[1]):
+                    agreed += sig[x, k] == sig[y, k]
+                ok = agreed >= LEAST_AGREED * sig.shape[1]
+                x, y = x[ok], y[ok]
+                need = np.unique(np.concatenate([x, y]))
+                sets = dict(zip(need.tolist(), _sets(flat.field("text").take(pa.array(need)))))
+                for i, j in zip(x.tolist(), y.tolist()):
+                    if similar(sets[i], sets[j], threshold):
+                        out.append((min(node[i], node[j]), max(node[i], node[j])))
+            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.binary()), pa.array([e[1] for e in out], pa.binary())], ["a", "b"])
+
+    def blocks(dealt: DataFrame) -> DataFrame:
+        full = dealt.join(nodes, "node").groupBy("key", "i", "j").agg(F.collect_list(F.struct("left", "right", "node", "c", "sig", "text")).alias("m"))
+        return full.select("key", "m").mapInArrow(run, "a binary, b binary")
+
+    return blocks
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Scratch]:
     """doc_id, node, class_id (the least id of the document's class), kept (whether its node stands for the class).
 
@@ -233,7 +288,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
     signed = scratch.write(sign(docs), "signed")
     some = signed.where(F.col("node").isNotNull())
     banded = some.select("node", F.explode("bands").alias("key"))
-    members = scratch.write(bucket_members(banded), "members")
+    members = bucket_members(banded.distinct(), scratch)
     who = members.select("node").distinct()
     n = who.count()
     small = n <= BROADCAST_ROWS
@@ -241,7 +296,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
     if n:
         reps = scratch.write(some.join(F.broadcast(who) if small else who, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("sig").alias("sig")), "reps")
         nodes = scratch.write(_texts(docs, reps, small).join(reps.select("node", "sig"), "node"), "nodes")
-        found = link_buckets(members, lambda pairs: _verify(pairs, nodes, threshold), scratch)
+        found = link_buckets(members, lambda pairs: _verify(pairs, nodes, threshold), scratch, _block_edges(nodes, threshold))
     rows = signed.select("doc_id", "node")
     if found is None:
         found = rows.select("node", F.col("node").alias("component")).limit(0)
