@@ -1,10 +1,11 @@
 """Line dedup (operator 6): fuzzy lines by MinHash, in DataFrame and SQL functions only.
 
-A line's set is its distinct character shingles (`WIDTH` code points at every position; a shorter line is one shingle).
-Its sketch is the least hashes of the set, ascending: a bottom-k MinHash. Bands are runs of neighbouring sketch
-elements, so a pair of similarity 0.8 shares no band with probability 0.007. Candidates whose sketches agree are decided
-by the exact Jaccard of the two sets, and distributed union-find keeps one line, the first by (doc_id, position), of
-each component.
+A line's set is its distinct character shingles (`WIDTH` code points at every position; a shorter line is one shingle),
+and lines whose exact Jaccard reaches the threshold are linked. Candidates come from a bottom-k MinHash of the shingles
+that start a word, a fixed part of the set that costs a sixth; of lines with hardly any word starts it takes all
+positions, and near the border between the two kinds a line has both sketches. Bands are runs of neighbouring sketch
+elements, so a pair of similarity 0.8 shares no band with probability 0.007. Pairs whose sketches agree are decided by
+the exact Jaccard, and distributed union-find keeps one line, the first by (doc_id, position), of each component.
 
 Equal lines are one node from the start, found by a 64-bit hash; where two different lines have the same hash, which
 their crc32 tells, all of them stay.
@@ -21,9 +22,11 @@ from .graph import bucket_members, link_buckets
 WIDTH = 10
 THRESHOLD = 0.8
 #: Sketch elements; the first BANDED of them make bands of ROWS neighbours.
-SKETCH, BANDED, ROWS = 12, 8, 2
-#: Candidates whose sketches share a smaller part go (four standard errors under the threshold).
-LEAST_AGREED = 0.3
+SKETCH, BANDED, ROWS = 16, 8, 2
+#: Characters a word, on average, up to which a line is sketched by its word starts; and from which by all positions.
+WORDY, WORDLESS = 20, 12
+#: Candidates whose sketches share a smaller part go (three and a half standard errors under the threshold).
+LEAST_AGREED = 0.45
 BREAK = "\n"
 #: Lines up to which ids are sent to every executor (8 bytes each); beyond it they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -35,6 +38,15 @@ def shingles(line: Column, width: int = WIDTH) -> Column:
     return F.sort_array(F.array_distinct(F.when(F.char_length(line) <= width, F.array(F.xxhash64(line))).otherwise(F.transform(every, lambda s: F.xxhash64(s)))))
 
 
+def sketches(line: Column, width: int = WIDTH) -> Column:
+    """One or two sketches of a line, each the least hashes of its part of the shingles, ascending."""
+    n, words = F.char_length(line), F.regexp_count(line, F.lit(r"\S+"))
+    small = lambda found: F.slice(F.sort_array(F.array_distinct(F.transform(found, lambda s: F.hash(s)))), 1, SKETCH)
+    starts = small(F.regexp_extract_all(line, F.lit(rf"(?s)(?:^|\s)(?=(\S.{{0,{width - 1}}}))"), F.lit(1)))
+    every = small(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{width}}}))"), F.lit(1)))
+    return F.when(n <= width, F.array(F.array(F.hash(line)))).when(n <= WORDLESS * words, F.array(starts)).when(n > WORDY * words, F.array(every)).otherwise(F.array(starts, every))
+
+
 def bands(sketch: Column) -> Column:
     """Keys of the runs of ROWS neighbours among the first elements; a smaller set has one key, of all its elements."""
     some = F.slice(sketch, 1, BANDED)
@@ -48,14 +60,20 @@ def lines(docs: DataFrame) -> DataFrame:
     return every.where(F.col("line").rlike(r"\S"))
 
 
+def _agreed(a: str, b: str) -> Column:
+    """The part of the union's least elements that both sketches hold, of the two kinds the larger."""
+
+    def one(x: Column, y: Column) -> Column:
+        k = F.least(F.size(x), F.size(y))
+        return F.size(F.array_intersect(F.slice(F.sort_array(F.array_union(x, y)), F.lit(1), k), F.array_intersect(x, y))) / k
+
+    return F.array_max(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: one(x, y)))))
+
+
 def _similar(nodes: DataFrame, texts: DataFrame, threshold: float):
     def verify(pairs: DataFrame) -> DataFrame:
         sketch = lambda n: nodes.select(F.col("node").alias(n), F.col("sketch").alias(f"s{n}"))
-        k = F.least(F.size("sa"), F.size("sb"))
-        # the part of the union's least elements that both hold
-        union = F.slice(F.sort_array(F.array_union("sa", "sb")), F.lit(1), k)
-        agreed = F.size(F.array_intersect(union, F.array_intersect("sa", "sb"))) / k
-        near = pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(agreed >= LEAST_AGREED).select("a", "b")
+        near = pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(_agreed("sa", "sb") >= LEAST_AGREED).select("a", "b")
         text = lambda n: texts.select(F.col("node").alias(n), F.col("line").alias(f"l{n}"))
         both = near.join(text("a"), "a").join(text("b"), "b").select("a", "b", shingles(F.col("la")).alias("ha"), shingles(F.col("lb")).alias("hb"))
         common = F.size(F.array_intersect("ha", "hb"))
@@ -64,57 +82,54 @@ def _similar(nodes: DataFrame, texts: DataFrame, threshold: float):
     return verify
 
 
-def line_classes(docs: DataFrame, threshold: float = THRESHOLD, scratch: Scratch | None = None) -> DataFrame:
-    """node (a line's hash), first_doc, first_pos (where its class's one kept line stands), for every line that occurs
-    more than once, exactly or nearly."""
-    scratch = scratch or Scratch(docs.sparkSession)
-    met = lines(docs).select(F.xxhash64("line").alias("node"), F.struct("doc_id", "pos").alias("at"), F.slice(shingles(F.col("line")), 1, SKETCH).alias("sketch"), F.crc32(F.col("line").cast("binary")).alias("crc"))
-    nodes = met.groupBy("node").agg(F.min("at").alias("at"), F.min("sketch").alias("sketch"), F.count("*").alias("n"), F.min("crc").alias("c1"), F.max("crc").alias("c2"))
+def drop_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, dropped (positions of the lines that go, ascending): a row for each document that loses a line.
+
+    Null and empty texts have no line that could go; lines of white space stay. A class's first line by
+    (doc_id, position) stays, a null doc_id coming first; of rows with the same doc_id and the same line at the same
+    position all count as that first line. An empty table gives no row. Other columns of docs are not read.
+    """
+    scratch = Scratch(docs.sparkSession)
+    met = lines(docs).select("doc_id", "pos", F.xxhash64("line").alias("node"), F.crc32(F.col("line").cast("binary")).alias("crc"), sketches(F.col("line")).alias("sketch"))
+    met = scratch.write(met, "met")
+    nodes = met.groupBy("node").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.min("sketch").alias("sketch"), F.count("*").alias("n"), F.min("crc").alias("c1"), F.max("crc").alias("c2"))
     nodes = scratch.write(nodes.where(F.col("c1") == F.col("c2")).drop("c1", "c2"), "nodes")
-    members = bucket_members(nodes.select("node", F.explode(F.array_distinct(bands(F.col("sketch")))).alias("key")), scratch)
+    keys = nodes.select("node", F.explode(F.array_distinct(F.flatten(F.transform("sketch", bands)))).alias("key"))
+    members = bucket_members(keys, scratch)
     who = scratch.write(members.select("node").distinct(), "who")
     small = who.count() <= BROADCAST_ROWS
     own = lines(docs).select(F.xxhash64("line").alias("node"), "line").join(F.broadcast(who) if small else who, "node", "left_semi")
     texts = scratch.write(own.groupBy("node").agg(F.min("line").alias("line")), "texts")
-    found = link_buckets(members, _similar(nodes, texts, threshold), scratch)
+    some = scratch.write(nodes.join(F.broadcast(who) if small else who, "node", "left_semi").select("node", "sketch"), "some")
+    found = link_buckets(members, _similar(some, texts, threshold), scratch)
     every = nodes.join(found, "node", "left").select("node", "at", "n", F.coalesce("component", "node").alias("c"))
     first = every.groupBy("c").agg(F.min("at").alias("first"), F.sum("n").alias("n")).where(F.col("n") > 1)
-    return every.join(first.drop("n"), "c").select("node", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos"))
+    classes = scratch.write(every.join(first.drop("n"), "c").select("node", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos")), "classes")
+    gone = met.select("doc_id", "pos", "node").join(classes, "node").where(~(F.expr("doc_id <=> first_doc") & (F.col("pos") == F.col("first_pos"))))
+    return scratch.write(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("dropped")), "gone")
 
 
-def drop_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_lines, dropped (positions of the lines that go, ascending): a row for each document that loses a line.
+def _with_dropped(docs: DataFrame, threshold: float) -> DataFrame:
+    """docs with a column __dropped. The positions go to every executor while they are few, else texts are dealt out."""
+    gone = drop_lines(docs, threshold).select(F.col("doc_id").alias("__id"), F.col("dropped").alias("__dropped"))
+    n = gone.agg(F.sum(F.size("__dropped") + 4)).first()[0] or 0
+    return docs.join(F.broadcast(gone) if n <= 4 * BROADCAST_ROWS else gone, F.expr("CAST(doc_id AS LONG) <=> __id"), "left")
 
-    Null and empty texts have no line that could go; lines of white space stay. A class's first line by
-    (doc_id, position) stays, a null doc_id coming first; of rows with the same doc_id and the same line at the same
-    position all count as that first line. An empty table gives no row. Other columns of docs are not read.
-    """
-    scratch = Scratch(docs.sparkSession)
-    classes = scratch.write(line_classes(docs, threshold, scratch), "classes")
-    small = classes.count() <= BROADCAST_ROWS
-    at = lines(docs).select("doc_id", "pos", F.xxhash64("line").alias("node"))
-    gone = at.join(F.broadcast(classes) if small else classes, "node").where(~(F.expr("doc_id <=> first_doc") & (F.col("pos") == F.col("first_pos"))))
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
+
+def _left(text: Column) -> Column:
+    """The text without its dropped lines."""
+    kept = F.filter(F.transform(F.split(text, BREAK), lambda x, i: F.when(~F.array_contains("__dropped", i), x)), lambda x: x.isNotNull())
+    return F.when(F.col("__dropped").isNull(), text).otherwise(F.array_join(kept, BREAK))
 
 
 def clean(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The columns of docs with the repeated lines taken out of text (a text that loses every line is empty)."""
-    name = "__dropped"
-    gone = drop_lines(docs, threshold).select(F.col("doc_id").alias("__id"), F.col("dropped").alias(name))
-    split = F.split("text", BREAK)
-    left = F.array_join(F.filter(F.transform(split, lambda x, i: F.when(~F.coalesce(F.array_contains(name, i), F.lit(False)), x)), lambda x: x.isNotNull()), BREAK)
-    return docs.join(gone, F.expr("CAST(doc_id AS LONG) <=> __id"), "left").withColumn("text", F.when(F.col(name).isNull(), F.col("text")).otherwise(left)).select(docs.columns)
+    return _with_dropped(docs, threshold).withColumn("text", _left(F.col("text"))).select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_kept and the sha256 of the text that is left, of every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    gone = drop_lines(docs).select(F.col("doc_id").alias("__id"), "dropped")
-    return _report(docs.join(gone, F.expr("doc_id <=> __id"), "left"))
-
-
-def _report(docs: DataFrame) -> DataFrame:
-    split = F.split(F.coalesce("text", F.lit("")), BREAK)
-    left = F.array_join(F.filter(F.transform(split, lambda x, i: F.when(~F.coalesce(F.array_contains("dropped", i), F.lit(False)), x)), lambda x: x.isNotNull()), BREAK)
-    n = F.size(split).cast("long")
-    return docs.select("doc_id", n.alias("n_lines"), (n - F.coalesce(F.size("dropped"), F.lit(0))).alias("n_kept"), F.sha2(F.when(F.col("dropped").isNull(), F.coalesce("text", F.lit(""))).otherwise(left), 256).alias("kept_sha256"))
+    docs = _with_dropped(table(spark, sf_dir, "documents").select("doc_id", "text"), THRESHOLD)
+    text = F.coalesce("text", F.lit(""))
+    n = F.size(F.split(text, BREAK)).cast("long")
+    return docs.select("doc_id", n.alias("n_lines"), (n - F.coalesce(F.when(F.col("__dropped").isNotNull(), F.size("__dropped")), F.lit(0))).alias("n_kept"), F.sha2(_left(text), 256).alias("kept_sha256"))
