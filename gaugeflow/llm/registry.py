@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, embeddings, langid, linedup, media, minhash, packing, token_files, toxicity
+import corpus_pipeline
+
+from . import chat, embeddings, langid, linedup, media, minhash, packing, pieces, token_files, toxicity
 
 QUERIES = {
     "op1_embeddings": embeddings.query,
@@ -14,6 +16,8 @@ QUERIES = {
     "op7_media": media.query,
     "op8_toxicity": toxicity.query,
     "op9_language_id": langid.query,
+    "op10_pieces": pieces.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_chat": chat.SQL}
