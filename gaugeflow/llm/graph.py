@@ -57,47 +57,32 @@ def bucket_members(banded: DataFrame, scratch: Scratch) -> DataFrame:
 
 #: Members of one block of a bucket that is compared block by block.
 BLOCK = 256
-#: Members from which a bucket is split before pairs are made of it.
-CROWD = 64
+#: Members from which a bucket is first split by its nodes' other buckets.
+CROWD = 4096
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, blocks: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], blocks: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
     """Components of the similarity that verify decides on pairs (a, b), candidates being the pairs within a bucket.
 
     Every node is compared with its bucket's lead, so copies of one text are settled by a comparison each. Of a bucket
-    that still holds several components, all other pairs are decided too, as far as they lie in two of them, so the
-    result misses no link between components that the candidates hold. With `blocks` that happens block by block: it
-    gets the members of pairs of blocks (key, i, j, left, right, node, c) and returns edges (a, b) between left and right.
-    Without, a bucket of more than CROWD nodes is first split by its nodes' other buckets (its pairs must share two), and
-    then pairs are made with 8, 64, 512, ... of a bucket's nodes, up to all, until one component is left; which nodes
-    come in which round is drawn from a hash, so no task sorts a bucket.
+    that still holds several components, the other pairs are decided too, as far as they lie in two of them: blocks
+    gets the members of pairs of blocks, rows (key, fine, i, j, left, right, node, c), and returns edges (a, b) between
+    left and right, so pairs that fail are never rows. The result misses no link between components that the
+    candidates hold; only in a bucket of more than CROWD nodes must a pair share a second bucket (its rows are fine).
     """
     checked = scratch.write(members.where(F.col("lead") != F.col("node")).select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct(), "pairs")
     edges = [scratch.write(verify(checked), "edges")]
-    done, upto, split = 0, 8, False
-    while True:
-        if not split or done:
-            found = scratch.write(components(reduce(DataFrame.unionByName, edges), scratch), "found")
-        of = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-        still = of.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where((F.col("lo") != F.col("hi")) & (F.col("n") > max(2, done)))
-        rest = scratch.write(of.join(still.select("key", "n"), "key"), "rest")
-        if rest.isEmpty():
-            return found
-        if blocks is not None:
-            n = F.ceil(F.col("n") / BLOCK).cast("int")
-            dealt = rest.select("key", "node", "c", F.pmod(F.xxhash64("node", "key"), n).cast("int").alias("h"), F.explode(F.sequence(F.lit(0), n - 1)).alias("t"))
-            edges.append(scratch.write(blocks(dealt.select("key", F.least("h", "t").alias("i"), F.greatest("h", "t").alias("j"), (F.col("h") <= F.col("t")).alias("left"), (F.col("h") >= F.col("t")).alias("right"), "node", "c")), "edges"))
-            return scratch.write(components(reduce(DataFrame.unionByName, edges), scratch), "found")
-        if not split:
-            split = True
-            crowd = rest.where(F.col("n") > CROWD).select("key", "node").join(members.select("node", F.col("key").alias("other")), "node").where(F.col("key") != F.col("other"))
-            fine = crowd.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "node").distinct()
-            members = scratch.write(rest.where(F.col("n") <= CROWD).select("key", "node").unionByName(fine), "members")
-            continue
-        u = F.pmod(F.xxhash64("node", "key"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("n")
-        lead = rest.where((u >= done) & (u < upto)).select("key", F.col("node").alias("x"), F.col("c").alias("cx"))
-        new = rest.join(lead, "key").where(F.col("c") != F.col("cx")).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
-        new = scratch.write(new, "pairs")
-        edges.append(scratch.write(verify(new), "edges"))
-        checked = checked.unionByName(new)
-        done, upto = upto, upto * 8
+    found = scratch.write(components(edges[0], scratch), "found")
+    of = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    several = of.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where((F.col("lo") != F.col("hi")) & (F.col("n") > 2))
+    rest = scratch.write(of.join(several.select("key", "n"), "key"), "rest")
+    if rest.isEmpty():
+        return found
+    crowd = rest.where(F.col("n") > CROWD).select("key", "node", "c").join(members.select("node", F.col("key").alias("other")), "node").where(F.col("key") != F.col("other"))
+    fine = crowd.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "node", "c").distinct()
+    sizes = fine.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    every = rest.where(F.col("n") <= CROWD).select("key", "node", "c", "n", F.lit(False).alias("fine")).unionByName(fine.join(sizes, "key").select("key", "node", "c", "n", F.lit(True).alias("fine")))
+    n = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = every.select("key", "fine", "node", "c", F.pmod(F.xxhash64("node", "key"), n).cast("int").alias("h"), F.explode(F.sequence(F.lit(0), n - 1)).alias("t"))
+    edges.append(scratch.write(blocks(dealt.select("key", "fine", F.least("h", "t").alias("i"), F.greatest("h", "t").alias("j"), (F.col("h") <= F.col("t")).alias("left"), (F.col("h") >= F.col("t")).alias("right"), "node", "c")), "edges"))
+    return scratch.write(components(reduce(DataFrame.unionByName, edges), scratch), "found")

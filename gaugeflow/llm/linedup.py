@@ -60,13 +60,14 @@ def lines(docs: DataFrame) -> DataFrame:
     return every.where(F.col("line").rlike(r"\S"))
 
 
-def _agreed(a: str, b: str) -> Column:
+def _agreed(a: Column | str, b: Column | str) -> Column:
     """The part of the union's least elements that both sketches hold, of the two kinds the larger."""
 
     def one(x: Column, y: Column) -> Column:
         k = F.least(F.size(x), F.size(y))
         return F.size(F.array_intersect(F.slice(F.sort_array(F.array_union(x, y)), F.lit(1), k), F.array_intersect(x, y))) / k
 
+    a, b = (F.col(v) if isinstance(v, str) else v for v in (a, b))
     return F.array_max(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: one(x, y)))))
 
 
@@ -82,6 +83,30 @@ def _similar(nodes: DataFrame, texts: DataFrame, threshold: float):
     return verify
 
 
+def _block_edges(nodes: DataFrame, texts: DataFrame, threshold: float):
+    """Decides the pairs of two blocks of a bucket within one row: sizes first, then sketches, then the whole sets. A pair
+    counts in the least band that its lines share."""
+
+    def enough(common: Column, a: Column, b: Column) -> Column:
+        return common >= F.lit(threshold) * (F.size(a) + F.size(b) - common)
+
+    def pair(x: Column, y: Column) -> Column:
+        other = (x["c"] != y["c"]) & ((x["node"] < y["node"]) | ~(x["right"] & y["left"]))
+        sizes = F.least(F.size(x["h"]), F.size(y["h"])) >= F.lit(threshold) * F.greatest(F.size(x["h"]), F.size(y["h"]))
+        here = x["fine"] | (F.array_min(F.array_intersect(x["keys"], y["keys"])) == x["key"])
+        return other & sizes & here & (_agreed(x["sketch"], y["sketch"]) >= LEAST_AGREED) & enough(F.size(F.array_intersect(x["h"], y["h"])), x["h"], y["h"])
+
+    def blocks(dealt: DataFrame) -> DataFrame:
+        need = dealt.select("node").distinct()
+        sets = texts.join(need, "node").join(nodes, "node").select("node", "sketch", F.array_distinct(F.flatten(F.transform("sketch", bands))).alias("keys"), shingles(F.col("line")).alias("h"))
+        full = dealt.join(sets, "node").groupBy("key", "fine", "i", "j").agg(F.collect_list(F.struct("left", "right", "node", "c", "key", "fine", "sketch", "keys", "h")).alias("m"))
+        edge = lambda x, y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"))
+        found = F.transform(F.filter("m", lambda x: x["left"]), lambda x: F.transform(F.filter("m", lambda y: y["right"] & pair(x, y)), lambda y: edge(x, y)))
+        return full.select(F.explode(F.flatten(found)).alias("e")).select("e.a", "e.b").distinct()
+
+    return blocks
+
+
 def drop_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, dropped (positions of the lines that go, ascending): a row for each document that loses a line.
 
@@ -101,7 +126,7 @@ def drop_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     own = lines(docs).select(F.xxhash64("line").alias("node"), "line").join(F.broadcast(who) if small else who, "node", "left_semi")
     texts = scratch.write(own.groupBy("node").agg(F.min("line").alias("line")), "texts")
     some = scratch.write(nodes.join(F.broadcast(who) if small else who, "node", "left_semi").select("node", "sketch"), "some")
-    found = link_buckets(members, _similar(some, texts, threshold), scratch)
+    found = link_buckets(members, _similar(some, texts, threshold), _block_edges(some, texts, threshold), scratch)
     every = nodes.join(found, "node", "left").select("node", "at", "n", F.coalesce("component", "node").alias("c"))
     first = every.groupBy("c").agg(F.min("at").alias("first"), F.sum("n").alias("n")).where(F.col("n") > 1)
     classes = scratch.write(every.join(first.drop("n"), "c").select("node", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos")), "classes")

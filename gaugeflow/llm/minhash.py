@@ -240,7 +240,7 @@ def _block_edges(nodes: DataFrame, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple[bytes, bytes]] = []
-            for key, m in zip(b.column("key").to_pylist(), b.column("m")):
+            for key, fine, m in zip(b.column("key").to_pylist(), b.column("fine").to_pylist(), b.column("m")):
                 flat = m.values
                 node = flat.field("node").to_pylist()
                 c = np.unique(flat.field("c").to_pylist(), return_inverse=True)[1]
@@ -254,7 +254,7 @@ def _block_edges(nodes: DataFrame, threshold: float):
                 first = np.full(len(x), -1)
                 for k in range(band.shape[1] - 1, -1, -1):
                     first[band[x, k] == band[y, k]] = k
-                ok = band[x, first] == key
+                ok = (band[x, first] == key) | fine
                 x, y = x[ok], y[ok]
                 if not len(x):
                     continue
@@ -271,8 +271,8 @@ def _block_edges(nodes: DataFrame, threshold: float):
             yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.binary()), pa.array([e[1] for e in out], pa.binary())], ["a", "b"])
 
     def blocks(dealt: DataFrame) -> DataFrame:
-        full = dealt.join(nodes, "node").groupBy("key", "i", "j").agg(F.collect_list(F.struct("left", "right", "node", "c", "sig", "text")).alias("m"))
-        return full.select("key", "m").mapInArrow(run, "a binary, b binary")
+        full = dealt.join(nodes, "node").groupBy("key", "fine", "i", "j").agg(F.collect_list(F.struct("left", "right", "node", "c", "sig", "text")).alias("m"))
+        return full.select("key", "fine", "m").mapInArrow(run, "a binary, b binary")
 
     return blocks
 
@@ -296,7 +296,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
     if n:
         reps = scratch.write(some.join(F.broadcast(who) if small else who, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("sig").alias("sig")), "reps")
         nodes = scratch.write(_texts(docs, reps, small).join(reps.select("node", "sig"), "node"), "nodes")
-        found = link_buckets(members, lambda pairs: _verify(pairs, nodes, threshold), scratch, _block_edges(nodes, threshold))
+        found = link_buckets(members, lambda pairs: _verify(pairs, nodes, threshold), _block_edges(nodes, threshold), scratch)
     rows = signed.select("doc_id", "node")
     if found is None:
         found = rows.select("node", F.col("node").alias("component")).limit(0)
