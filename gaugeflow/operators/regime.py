@@ -150,7 +150,7 @@ FIT = "station string, segment long, fitted_at long, loglik double, start array<
 def fit_segments(raw: DataFrame, order: list[str], k: int = STATES, train: int = TRAIN, first: int = FIRST, every: int = EVERY) -> DataFrame:
     """One model per station and refit, fitted on the last train + 1 rows."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         at = first + 1 + key[1] * every
         pdf = pdf.sort_values("r")
         own = pdf[pdf["r"] <= at]
@@ -169,7 +169,7 @@ def detect(raw: DataFrame, order: list[str], k: int = STATES, train: int = TRAIN
     """Filtered state probabilities of every row after a station's first fit, rounded to six places, and the most likely
     state. Each segment fits its model and filters its rows in one task."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         at = first + 1 + key[1] * every
         pdf = pdf.sort_values("r")
         r = pdf["r"].to_numpy()

@@ -10,14 +10,23 @@ from pyspark.sql import types as T
 
 from ..functions.expr import valid_station
 
-RAW = T._parse_datatype_string("station string, timestamp long, values array<double>, regime tinyint")
-STATS = T._parse_datatype_string("station string, sensor int, timestamp long, window_ms long, mean double, min double, max double, count long, regime tinyint")
-FORECAST = T._parse_datatype_string(
-    "station string, sensor int, origin_ts long, step_ms long, timestamps array<long>, forecasts array<double>, lower_ci array<double>, upper_ci array<double>, confidence double, "
-    "metrics array<struct<horizon: int, n: long, mae: double, mase: double, coverage: double>>"
-)
-REGIME = T._parse_datatype_string("station string, timestamp long, probabilities array<double>, state int, true_regime int, mapped_state int, accuracy double, n_scored long")
-ALERT = T._parse_datatype_string("id string, rule string, severity string, state string, station string, sensor int, timestamp long, message string, value double")
+STR, INT, LONG, REAL = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType()
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
+
+def _list(t: T.DataType) -> T.ArrayType:
+    return T.ArrayType(t)
+
+
+RAW = _struct(station=STR, timestamp=LONG, values=_list(REAL), regime=T.ByteType())
+STATS = _struct(station=STR, sensor=INT, timestamp=LONG, window_ms=LONG, mean=REAL, min=REAL, max=REAL, count=LONG, regime=T.ByteType())
+METRICS = _struct(horizon=INT, n=LONG, mae=REAL, mase=REAL, coverage=REAL)
+FORECAST = _struct(station=STR, sensor=INT, origin_ts=LONG, step_ms=LONG, timestamps=_list(LONG), forecasts=_list(REAL), lower_ci=_list(REAL), upper_ci=_list(REAL), confidence=REAL, metrics=_list(METRICS))
+REGIME = _struct(station=STR, timestamp=LONG, probabilities=_list(REAL), state=INT, true_regime=INT, mapped_state=INT, accuracy=REAL, n_scored=LONG)
+ALERT = _struct(id=STR, rule=STR, severity=STR, state=STR, station=STR, sensor=INT, timestamp=LONG, message=STR, value=REAL)
 
 #: Fixed values of the alert contract.
 SEVERITIES = ("info", "warning", "serious", "critical")
