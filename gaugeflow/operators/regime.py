@@ -190,11 +190,14 @@ def detect(raw: DataFrame, order: list[str], k: int = STATES, train: int = TRAIN
 def confusion(rows: DataFrame, order: str, last: int = SCORED, k: int = STATES) -> DataFrame:
     """rows: station, order, state, truth. Adds n_scored, accuracy under the best one-to-one relabelling of the last
     scored rows, and mapped_state. A truth or state that isn't one of k isn't scored."""
-    w = Window.partitionBy("station").orderBy(order).rowsBetween(-(last - 1), 0)
+    w = Window.partitionBy("station").orderBy(order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    # whole numbers: a difference of running sums is exact, and costs the same however long the frame is
+    within = lambda n: F.col(n) - F.coalesce(F.lag(n, last).over(w), F.lit(0))
     rows = rows.where(F.col("truth").between(0, k - 1) & F.col("state").between(0, k - 1))
     cell: list[list[Column]] = [[F.col(f"__{i}{j}") for j in range(k)] for i in range(k)]
-    rows = rows.withColumns({f"__{i}{j}": F.sum(((F.col("state") == i) & (F.col("truth") == j)).cast("long")).over(w) for i in range(k) for j in range(k)})
-    rows = rows.withColumn("n_scored", F.count("*").over(w))
+    rows = rows.withColumns({f"__{i}{j}": F.sum(((F.col("state") == i) & (F.col("truth") == j)).cast("long")).over(so_far) for i in range(k) for j in range(k)} | {"__n": F.count("*").over(so_far)})
+    rows = rows.withColumns({f"__{i}{j}": within(f"__{i}{j}") for i in range(k) for j in range(k)} | {"n_scored": F.least("__n", F.lit(last))}).drop("__n")
     top, mapping = best_mapping(cell)
     rows = rows.withColumn("matched", top).withColumn("mapped_state", mapping[F.col("state")])
     return rows.withColumn("accuracy", F.col("matched") / F.col("n_scored")).withColumnsRenamed({f"__{i}{j}": f"c{i}{j}" for i in range(k) for j in range(k)})
