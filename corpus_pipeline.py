@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeflow.llm import langid, linedup, minhash, packing, tokens, toxicity
-from gaugeflow.llm.common import Scratch, bound_batches, table
+from gaugeflow.llm.common import Scratch, bound_batches, free_name, table
 
 END_ID = 2
 
@@ -19,12 +19,14 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on these documents' labels, doesn't hold toxic. Null texts stay."""
     bound_batches(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("predicted") == 0).select(docs.columns)
+    score, toxic = free_name(docs.columns, "__score"), free_name(docs.columns, "__toxic")
+    return toxicity.score(docs, model, score, toxic).where(F.col(toxic) == 0).select(docs.columns)
 
 
 def language_in(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages learned from these documents: texts that are null or hold no letter go."""
-    return langid.predict(docs, *langid.learned(docs)).where(F.col("lang_pred") != "und").select(docs.columns)
+    lang, score = free_name(docs.columns, "__lang"), free_name(docs.columns, "__score")
+    return langid.predict(docs, *langid.learned(docs), lang, score).where(F.col(lang) != "und").select(docs.columns)
 
 
 def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,14 @@ def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """A column name that a table doesn't have yet."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a temporary one only where none is set, as in tests."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -81,6 +90,27 @@ class Scratch:
             pass
 
 
+#: What workers keep between tasks, by name, and how to let go of it.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def kept_by(name: str, clear: Callable[[], None]) -> None:
+    _KEPT[name] = clear
+
+
+def settle(own: str = "") -> None:
+    """Called by a worker as it starts a task: lets go of what tasks of other operators have kept, and returns freed
+    memory to the system. Workers serve many tasks, and what they hold adds up beside the executor's heap."""
+    for name, clear in _KEPT.items():
+        if name != own:
+            clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and the offsets that bound each; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

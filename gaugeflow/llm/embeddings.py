@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, settle, table
 from .graph import components
 
 THRESHOLD = 0.9
@@ -48,6 +48,7 @@ def vectors(rows: DataFrame) -> DataFrame:
     d = d["d"] if d else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for b in batches:
             if not b.num_rows:
                 continue
@@ -67,6 +68,7 @@ def seed_edges(nodes: DataFrame, first: int, orders: int = ORDERS) -> DataFrame:
     """Neighbours within blocks of each order of the nodes. nodes: node, half."""
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for b in batches:
             if not b.num_rows:
                 continue
@@ -77,6 +79,7 @@ def seed_edges(nodes: DataFrame, first: int, orders: int = ORDERS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), o), pa.int32()), pa.array(code), b.column("node"), b.column("half")], ["o", "code", "node", "half"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         held: list[pa.RecordBatch] = []
 
         def out(t: pa.Table):
@@ -126,6 +129,7 @@ def local_joins(lists: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
     rows = some.join(info, "id").groupBy("v").agg(F.collect_list(F.struct("id", "new", "worst", "half")).alias("m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for b in batches:
             col = b.column("m")
             flat = col.flatten()
@@ -150,6 +154,7 @@ def exact(pairs: DataFrame, vecs: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) with cosine >= threshold in double precision. vecs: node, vec."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for b in batches:
             if b.num_rows:
                 cos = (_matrix(b.column("va"), np.float64) * _matrix(b.column("vb"), np.float64)).sum(1)
@@ -167,6 +172,7 @@ def audit(queries: list[tuple[int, bytes]], nodes: DataFrame, threshold: float)
     x = np.stack([np.frombuffer(q[1], np.float64) for q in queries])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for b in batches:
             if b.num_rows:
                 own = b.column("node").to_numpy()
@@ -236,6 +242,7 @@ def link(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     halves = own.groupBy("node").agg(F.min("vec").alias("vec"), F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.max(F.coalesce(F.pmod("vec_id", F.lit(100)) == 0, F.lit(False))).alias("audited"))
 
     def half(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for b in batches:
             x = _matrix(b.column("vec"), np.float64).astype(np.float16) if b.num_rows else np.zeros((0, 1), np.float16)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([v.tobytes() for v in x], pa.binary())], [*b.schema.names, "half"])

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, table
+from .common import bound_batches, settle, table
 from .toxicity import held_out
 
 DIM = 1024
@@ -115,6 +115,7 @@ def prototypes(docs: DataFrame, dim: int = DIM) -> tuple[list[str], np.ndarray]:
     up its own texts; dim numbers a language reach the driver, whatever the number of texts."""
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         sums: dict[str, np.ndarray] = {}
         grams = Grams(dim)
         for b in batches:
@@ -141,14 +142,15 @@ def prototypes(docs: DataFrame, dim: int = DIM) -> tuple[list[str], np.ndarray]:
     return list(wide.index), wide.to_numpy(float)
 
 
-def predict(docs: DataFrame, langs: list[str], protos: np.ndarray) -> DataFrame:
-    """Adds lang_pred and score to the columns of docs (which must not hold these)."""
+def predict(docs: DataFrame, langs: list[str], protos: np.ndarray, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Adds the predicted language and its score, under names that docs must not hold."""
     bound_batches(docs.sparkSession)
     names, dim = docs.columns, protos.shape[1] if len(protos) else DIM
-    schema = docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    schema = docs.withColumns({lang: F.lit(""), score: F.lit(0.0)}).schema
     unit = (protos / np.maximum(np.linalg.norm(protos, axis=1, keepdims=True), 1e-300)).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         grams = Grams(dim)
         for b in batches:
             who, much = [], []
@@ -164,7 +166,7 @@ def predict(docs: DataFrame, langs: list[str], protos: np.ndarray) -> DataFrame:
                     known = bool(letters[i]) and bool(len(langs))
                     who.append(langs[best[i]] if known else "und")
                     much.append(min(1.0, max(0.0, float(cos[i, best[i]]))) if known else 0.0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(who, pa.string()), pa.array(much, pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(who, pa.string()), pa.array(much, pa.float64())], [*names, lang, score])
 
     return docs.mapInArrow(run, schema)
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, free_name, table
 from .graph import bucket_members, link_buckets
 
 WIDTH = 10
@@ -134,27 +134,30 @@ def drop_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return scratch.write(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("dropped")), "gone")
 
 
-def _with_dropped(docs: DataFrame, threshold: float) -> DataFrame:
-    """docs with a column __dropped. The positions go to every executor while they are few, else texts are dealt out."""
-    gone = drop_lines(docs, threshold).select(F.col("doc_id").alias("__id"), F.col("dropped").alias("__dropped"))
-    n = gone.agg(F.sum(F.size("__dropped") + 4)).first()[0] or 0
-    return docs.join(F.broadcast(gone) if n <= 4 * BROADCAST_ROWS else gone, F.expr("CAST(doc_id AS LONG) <=> __id"), "left")
+def _with_dropped(docs: DataFrame, threshold: float) -> tuple[DataFrame, str]:
+    """docs with a column of each one's dropped positions, and its name. The positions go to every executor while they
+    are few, else texts are dealt out."""
+    name, key = free_name(docs.columns, "__dropped"), free_name(docs.columns, "__id")
+    gone = drop_lines(docs, threshold).select(F.col("doc_id").alias(key), F.col("dropped").alias(name))
+    n = gone.agg(F.sum(F.size(name) + 4)).first()[0] or 0
+    return docs.join(F.broadcast(gone) if n <= 4 * BROADCAST_ROWS else gone, F.expr(f"CAST(doc_id AS LONG) <=> {key}"), "left").drop(key), name
 
 
-def _left(text: Column) -> Column:
+def _left(text: Column, dropped: str) -> Column:
     """The text without its dropped lines."""
-    kept = F.filter(F.transform(F.split(text, BREAK), lambda x, i: F.when(~F.array_contains("__dropped", i), x)), lambda x: x.isNotNull())
-    return F.when(F.col("__dropped").isNull(), text).otherwise(F.array_join(kept, BREAK))
+    kept = F.filter(F.transform(F.split(text, BREAK), lambda x, i: F.when(~F.array_contains(dropped, i), x)), lambda x: x.isNotNull())
+    return F.when(F.col(dropped).isNull(), text).otherwise(F.array_join(kept, BREAK))
 
 
 def clean(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The columns of docs with the repeated lines taken out of text (a text that loses every line is empty)."""
-    return _with_dropped(docs, threshold).withColumn("text", _left(F.col("text"))).select(docs.columns)
+    out, dropped = _with_dropped(docs, threshold)
+    return out.withColumn("text", _left(F.col("text"), dropped)).select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_kept and the sha256 of the text that is left, of every document."""
-    docs = _with_dropped(table(spark, sf_dir, "documents").select("doc_id", "text"), THRESHOLD)
+    docs, dropped = _with_dropped(table(spark, sf_dir, "documents").select("doc_id", "text"), THRESHOLD)
     text = F.coalesce("text", F.lit(""))
     n = F.size(F.split(text, BREAK)).cast("long")
-    return docs.select("doc_id", n.alias("n_lines"), (n - F.coalesce(F.when(F.col("__dropped").isNotNull(), F.size("__dropped")), F.lit(0))).alias("n_kept"), F.sha2(_left(text), 256).alias("kept_sha256"))
+    return docs.select("doc_id", n.alias("n_lines"), (n - F.coalesce(F.when(F.col(dropped).isNotNull(), F.size(dropped)), F.lit(0))).alias("n_kept"), F.sha2(_left(text, dropped), 256).alias("kept_sha256"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, table, texts_as_bytes
+from .common import bound_batches, settle, table, texts_as_bytes
 
 WIDTH = HEIGHT = 24
 FRAME = WIDTH * HEIGHT
@@ -261,6 +261,7 @@ def encode_clips(docs: DataFrame) -> DataFrame:
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for b in batches:
             texts = texts_as_bytes(b.column("text"))
             filled = [payload(t) for t in texts]
@@ -284,6 +285,7 @@ def clips(media: DataFrame) -> DataFrame:
     bound_batches(media.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for b in batches:
             ids, files = zip(*[(i, f) for i, f in zip(b.column("doc_id").to_pylist(), b.column("media").to_pylist()) if f is not None]) if b.num_rows > b.column("media").null_count else ((), ())
             rows = []
@@ -305,6 +307,7 @@ def digest(media: DataFrame) -> DataFrame:
     types = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for b in batches:
             files = b.column("media").to_pylist()
             rows = []

@@ -20,8 +20,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Scratch, bound_batches, mix64, pieces, table, utf8
+from .common import Scratch, bound_batches, free_name, mix64, pieces, settle, table, utf8
 from .graph import bucket_members, link_buckets
 
 WORDS = 5
@@ -180,6 +181,7 @@ def sign(docs: DataFrame) -> DataFrame:
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for b in batches:
             ids = b.column("doc_id")
             for i, at, h, count, words in shingles(b.column("text")):
@@ -206,6 +208,7 @@ def _texts(docs: DataFrame, reps: DataFrame, small: bool) -> DataFrame:
     j = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted) if small else wanted, F.expr("doc_id <=> rep")).select("node", "text")
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for b in batches:
             for i, at, h, count, words in shingles(b.column("text")):
                 own = digests(len(words), at, h, count)
@@ -219,11 +222,13 @@ def _verify(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """pairs (a, b) whose texts are as similar as the threshold; nodes: node, sig, text."""
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for b in batches:
             s, t = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(b.num_rows, -1) for c in ("sa", "sb"))
             yield b.select(["a", "b"]).filter(pa.array((s == t).mean(1) >= LEAST_AGREED)) if b.num_rows else b.select(["a", "b"])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for b in batches:
             keep = [similar(x, y, threshold) for x, y in zip(_sets(b.column("ta")), _sets(b.column("tb")))]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -238,6 +243,7 @@ def _block_edges(nodes: DataFrame, threshold: float):
     in the first band that its texts share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for b in batches:
             out: list[tuple[bytes, bytes]] = []
             for key, fine, m in zip(b.column("key").to_pylist(), b.column("fine").to_pylist(), b.column("m")):
@@ -322,10 +328,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     if ids["n"] == ids["d"]:
         gone = out.where(~F.expr("kept AND doc_id <=> class_id")).select("doc_id")
         return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(docs.columns)
-    names, extra = docs.columns, "__node"
-    schema = docs.withColumn(extra, F.lit(b"")).schema
+    names, extra = docs.columns, free_name(docs.columns, "__node")
+    schema = T.StructType([*docs.schema.fields, T.StructField(extra, T.BinaryType())])
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for b in batches:
             for i, at, h, count, words in shingles(b.column("text")):
                 own = digests(len(words), at, h, count)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from . import tokens
-from .common import bound_batches, table, texts_as_bytes
+from .common import bound_batches, settle, table, texts_as_bytes
 
 WINDOW = 4096
 SENTENCE_PENALTY = 4
@@ -142,6 +142,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = WINDOW
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle("tokens")
         tok = tokens.opened(tokenizer_path)
         packer = Packer(sentence_marks(tok), TaskContext.get().partitionId() << 40, window)
         names = [f.split()[0] for f in PIECES.split(", ")]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import Scratch, bound_batches, table, texts_as_bytes
+from .common import Scratch, bound_batches, settle, table, texts_as_bytes
 
 MAGIC = b"GTZ1"
 HEAD = struct.Struct("<4s8sBI")
@@ -112,6 +112,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     spark.createDataFrame([(bytearray(dict_hash(dictionary)), bytearray(dictionary), width)], "hash binary, data binary, width int").coalesce(1).write.parquet(f"{path}/dictionary")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle("tokens")
         tok, z = tokens.opened(tokenizer_path), compressor(dictionary)
         shard, block, held, size, ids = TaskContext.get().partitionId(), 0, [], 0, 0
         end = np.array([end_id], "<u4").tobytes()
@@ -145,6 +146,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
 
     def docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle("tokens")
         for b in batches:
             for shard, block, data in zip(b.column("shard").to_pylist(), b.column("block").to_pylist(), b.column("data")):
                 r = BlockReader(data.as_py(), dictionary)

@@ -12,8 +12,10 @@ from itertools import chain
 
 import numpy as np
 
+from .common import kept_by
+
 #: Words whose ids a worker keeps; words met later are encoded each time they occur.
-MEMO_WORDS = 1_400_000
+MEMO_WORDS = 1_000_000
 #: Words of one call to the library.
 JOINED = 2000
 _OPEN: dict[str, "WordTokenizer"] = {}
@@ -82,6 +84,9 @@ class WordTokenizer:
         return [next(whole_ids) if w is None else b"".join(map(get, w)) for w in words]
 
 
+kept_by("tokens", _OPEN.clear)
+
+
 def opened(path: str) -> WordTokenizer:
     """This worker's tokenizer for a vocabulary file, loaded once."""
     if path not in _OPEN:

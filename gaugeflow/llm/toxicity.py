@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches, table
+from .common import Scratch, bound_batches, settle, table
 
 BITS = 20
 NGRAMS = (3, 4, 5)
@@ -90,6 +90,7 @@ def fit(sample: DataFrame, priors: tuple[int, int], rounds: int = 300, ridge: fl
     the classes, at most MAX_FEATURES, and the bounded sample's indices into them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         totals = np.zeros((2, 1 << BITS), np.int64)
         for b in batches:
             toxic = b.column("toxic").to_numpy(zero_copy_only=False)
@@ -123,6 +124,7 @@ def fit(sample: DataFrame, priors: tuple[int, int], rounds: int = 300, ridge: fl
     ratio = np.log(pos / pos.sum()) - np.log(neg / neg.sum())
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         wanted = np.zeros(1 << BITS, bool)
         wanted[buckets] = True
         for b in batches:
@@ -165,15 +167,16 @@ def logistic(row, col, ratio, y, weight, prior: float, rounds: int, ridge: float
     return np.where(size > 0, w * ratio, 0.0), float(b)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds score and predicted to the columns of docs (which must not hold these). Null and empty texts get the score
+def score(docs: DataFrame, model: Model, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """Adds score and predicted, under names that docs must not hold. Null and empty texts get the score
     of a text without any known n-gram."""
     bound_batches(docs.sparkSession)
     names = docs.columns
-    schema = docs.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
+    schema = docs.withColumns({score: F.lit(0.0), predicted: F.lit(0)}).schema
     fitted = (model.buckets, model.weights, model.intercept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         buckets, weights, intercept = fitted
         wanted, w = np.zeros(1 << BITS, bool), np.zeros(1 << BITS)
         wanted[buckets], w[buckets] = True, weights
@@ -183,7 +186,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 row, bucket = present(part, wanted)
                 out.append(np.bincount(row, w[bucket], minlength=len(part)) + intercept)
             s = 1 / (1 + np.exp(-np.clip(np.concatenate(out) if out else np.zeros(0), -700, 700)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*names, score, predicted])
 
     return docs.mapInArrow(run, schema)
 
