@@ -9,7 +9,6 @@ import pytest
 ROOT = str(Path(__file__).resolve().parent.parent)
 sys.path[:0] = [ROOT, str(Path(ROOT) / "tests")]
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
-SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
