@@ -141,7 +141,7 @@ def test_language_held_out(spark):
 
 def test_profiles_are_bundles_of_bound_letters(spark):
     text = "Ab cab"
-    letters = [langid.letter_ids()[ord(c)] if c.isalpha() else 0 for c in text.lower()] + [0]
+    letters = [langid.letter_ids()[ord(c)] if c.isalpha() else 0 for c in text.lower()]  # no gap after the last word
     want = np.zeros(64)
     for a, b, c in zip(letters, letters[1:], letters[2:]):
         va, vb, vc = (langid.letter_vector(int(x), 64).astype(int) for x in (a, b, c))
