@@ -2,10 +2,11 @@
 
 Equal vectors are one node. The graph starts from orders of the nodes along random hyperplane codes, cut into blocks of
 neighbours, and is refined by local joins: the neighbours of a node, forward and reverse, are each other's candidates,
-are scored in one block, and every node keeps its best. Only lists that hold a new neighbour are joined again. A node
-whose whole list lies over the threshold is saturated: its list is enlarged until it isn't. Rounds stop when the edges
-over the threshold stop growing; recall is then audited against brute force, and rounds from further orders follow
-until it is high enough. Edges over the threshold, decided in double precision, give links and components.
+are scored in one block, and every node keeps its best K. Only lists that hold a new neighbour are joined again, and rounds
+stop when the edges over the threshold stop growing. A node whose whole list lies over the threshold is saturated: its
+list is enlarged to all that its component of such edges holds, found block by block. Recall is then audited against
+brute force, and rounds from further orders follow until it is high enough. Edges over the threshold, decided in double
+precision, give links and components.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ from .graph import components
 THRESHOLD = 0.9
 #: The graph holds half-precision copies of the unit vectors; edges are decided from the vectors themselves.
 SLACK = 4e-3
-K, GROW = 8, 4
+K = 8
 #: Members of one local join; longer lists are sampled anew each round.
 JOIN = 64
 ORDERS, BLOCK, PLANES = 10, 96, 62
-ROUNDS, LEAST_GAIN = 24, 0.002
+ROUNDS, LEAST_GAIN = 10, 0.005
+#: Members of one block of a saturated component.
+CROWD = 512
 MIN_RECALL, REFINED = 0.97, 3
 #: Queries of the audit, at most (those with the least hashes among ids divisible by 100).
 AUDIT = 1024
@@ -86,7 +89,7 @@ def seed_edges(nodes: DataFrame, first: int, orders: int = ORDERS) -> DataFrame:
             x = _matrix(t.column("half").combine_chunks(), np.float16).astype(np.float32)
             ids = t.column("node").to_numpy()
             s = x @ x.T
-            np.fill_diagonal(s, -2)
+            s[ids[:, None] == ids] = -2  # a block where one order ends and the next begins can hold a node twice
             k = min(K, len(ids) - 1)
             best = np.argpartition(-s, k - 1, axis=1)[:, :k]
             return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(s, best, 1).ravel().astype(np.float32))], ["x", "y", "sim"])
@@ -105,21 +108,47 @@ def seed_edges(nodes: DataFrame, first: int, orders: int = ORDERS) -> DataFrame:
 
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     coded = nodes.mapInArrow(codes, "o int, code long, node long, half binary")
-    return coded.repartitionByRange(n, "o", "code", "node").sortWithinPartitions("o", "code", "node").select("node", "half").mapInArrow(blocks, EDGE)
+    found = coded.repartitionByRange(n, "o", "code", "node").sortWithinPartitions("o", "code", "node").select("node", "half").mapInArrow(blocks, EDGE)
+    return found.where(F.col("x") != F.col("y"))
 
 
-def best(edges: DataFrame, sizes: DataFrame | None) -> DataFrame:
-    """Each node's best distinct neighbours, K of them or as many as sizes (x, k) says. edges: x, y, sim, new."""
+def best(edges: DataFrame) -> DataFrame:
+    """Each node's K best distinct neighbours. edges: x, y, sim, new."""
     one = edges.groupBy("x", "y").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
-    lists = one.groupBy("x").agg(F.sort_array(F.collect_list(F.struct("sim", "y", "new")), asc=False).alias("l"))
-    lists = lists.withColumn("k", F.lit(K)) if sizes is None else lists.join(sizes, "x", "left").withColumn("k", F.coalesce("k", F.lit(K)))
-    worst = F.when(F.size("l") >= F.col("k"), F.element_at(F.slice("l", F.lit(1), F.col("k")), -1)["sim"]).otherwise(F.lit(-2.0).cast("float"))
-    lists = lists.withColumn("full", F.size("l") >= F.col("k")).withColumn("worst", worst)
-    return lists.select("x", "k", "full", "worst", F.slice("l", F.lit(1), F.col("k")).alias("l"))
+    lists = one.groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "y", "new")), asc=False), 1, K).alias("l"))
+    full = F.size("l") >= K
+    return lists.select("x", full.alias("full"), F.when(full, F.element_at("l", -1)["sim"]).otherwise(F.lit(-2.0).cast("float")).alias("worst"), "l")
+
+
+def saturated(near: DataFrame, lists: DataFrame, nodes: DataFrame, low: float, scratch: Scratch) -> DataFrame:
+    """Pairs (x, y) over low within each component of near that holds a saturated node."""
+    found = scratch.write(components(near.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch), "found")
+    full = lists.where(F.col("full") & (F.col("worst") >= low)).select(F.col("x").alias("node"))
+    some = found.join(full, "node").groupBy("component").agg(F.lit(1).alias("one")).select("component")
+    members = scratch.write(found.join(some, "component"), "members")
+    n = members.groupBy("component").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("n"))
+    dealt = members.join(n, "component").select("component", "node", F.pmod(F.xxhash64("node"), F.col("n")).cast("int").alias("h"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("t"))
+    dealt = dealt.select("component", "node", F.least("h", "t").alias("i"), F.greatest("h", "t").alias("j"), (F.col("h") <= F.col("t")).alias("left"), (F.col("h") >= F.col("t")).alias("right"))
+    rows = dealt.join(nodes, "node").groupBy("component", "i", "j").agg(F.collect_list(F.struct("left", "right", "node", "half")).alias("m"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
+        for b in batches:
+            for m in b.column("m"):
+                flat = m.values
+                ids, left, right = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("node", "left", "right"))
+                x = _matrix(flat.field("half"), np.float16).astype(np.float32)
+                i, j = np.nonzero(x[left] @ x[right].T >= low)
+                a, c = ids[left][i], ids[right][j]
+                # in a block against itself each pair comes once
+                keep = (a < c) | ((a > c) & ~(np.isin(a, ids[right]) & np.isin(c, ids[left])))
+                yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(c[keep])], ["x", "y"])
+
+    return rows.select("m").mapInArrow(run, "x long, y long")
 
 
 def local_joins(lists: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
-    """Candidates (x, y, sim) that would enter x's list. lists: x, k, full, worst, l."""
+    """Candidates (x, y, sim) that would enter x's list. lists: x, full, worst, l."""
     fwd = lists.select(F.col("x").alias("v"), F.explode("l").alias("e")).select("v", F.col("e.y").alias("id"), F.col("e.new").alias("new"))
     both = fwd.unionByName(fwd.select(F.col("id").alias("v"), F.col("v").alias("id"), "new"))
     deg = both.groupBy("v").agg(F.count("*").alias("deg"), F.max("new").alias("any"))
@@ -190,35 +219,34 @@ def descend(nodes: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) ->
     queries = [(r["node"], bytes(r["vec"])) for r in pick.select("node", "vec").toLocalIterator()]
     truth = audit(queries, nodes, threshold)
     asked = nodes.sparkSession.createDataFrame([(q[0],) for q in queries] or [(0,)], "a long")
-    lists, orders, turn = None, 0, 0
+    lists, seen, turn, pairs = None, None, 0, None
     for attempt in range(REFINED):
-        seeds = seed_edges(nodes.select("node", "half"), orders).withColumn("new", F.lit(True))
-        orders += ORDERS
-        old = None if lists is None else lists
-        if old is not None:
-            seeds = seeds.unionByName(_flat(old, False))
-        lists = scratch.write(best(seeds, None if old is None else old.select("x", "k")), "lists")
-        scratch.drop(old)
-        last = -1
+        seeds = scratch.write(seed_edges(nodes.select("node", "half"), attempt * ORDERS), "seeds")
+        over = seeds.where(F.col("sim") >= low).select("x", "y")
+        seen = over if seen is None else seen.unionByName(over)
+        start = seeds.withColumn("new", F.lit(True))
+        new = scratch.write(best(start if lists is None else start.unionByName(_flat(lists, False))), "lists")
+        scratch.drop(lists)
+        lists, last = new, -1
         for _ in range(ROUNDS):
             turn += 1
             found = scratch.write(local_joins(lists, nodes, turn), "cands")
-            grown = F.when(F.col("full") & (F.col("worst") >= low), F.col("k") * GROW).otherwise(F.col("k")).alias("k")
-            new = scratch.write(best(_flat(lists, False).unionByName(found.withColumn("new", F.lit(True))), lists.select("x", grown)), "lists")
+            new = scratch.write(best(_flat(lists, False).unionByName(found.withColumn("new", F.lit(True)))), "lists")
             scratch.drop(lists, found)
             lists = new
-            over, full = lists.select(F.sum(F.size(F.filter("l", lambda e: e["sim"] >= low))), F.sum(F.when(F.col("full") & (F.col("worst") >= low), 1).otherwise(0))).first()
-            if last >= 0 and not full and (over or 0) - last <= LEAST_GAIN * last:
+            n = lists.select(F.sum(F.size(F.filter("l", lambda e: e["sim"] >= low)))).first()[0] or 0
+            if last >= 0 and n - last <= LEAST_GAIN * last:
                 break
-            last = over or 0
-        near = _flat(lists, False).where(F.col("sim") >= low)
+            last = n
+        near = scratch.write(_flat(lists, False).where(F.col("sim") >= low).select("x", "y").unionByName(seen).distinct(), "near")
+        more = saturated(near, lists, nodes, low, scratch)
+        pairs = scratch.write(near.unionByName(more).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "over")
         if not truth:
             break
-        got = near.select("x", "y").join(F.broadcast(asked), near["x"] == F.col("a"), "left_semi").unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y")).join(F.broadcast(asked), F.col("x") == F.col("a"), "left_semi"))
-        hit = len(truth & {(r["x"], r["y"]) for r in got.distinct().toLocalIterator()})
-        if hit >= MIN_RECALL * len(truth):
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hit = truth & {(r["a"], r["b"]) for r in both.join(F.broadcast(asked), "a", "left_semi").toLocalIterator()}
+        if len(hit) >= MIN_RECALL * len(truth):
             break
-    pairs = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     edges = scratch.write(exact(pairs, nodes.select("node", "vec"), threshold), "edges")
     scratch.drop(lists)
     return edges
