@@ -55,7 +55,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-        self.n = 0
+        self.n, self.written = 0, []
         atexit.register(self.clear)
 
     def path(self, name: str = "t") -> str:
@@ -64,6 +64,7 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str = "t", compression: str = "zstd") -> DataFrame:
         path = self.path(name)
+        self.written.append(path)
         df.write.option("compression", compression).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
@@ -76,6 +77,13 @@ class Scratch:
             if path:
                 self._delete(path)
 
+    def only(self, *frames) -> None:
+        """Removes every table but these: once what was asked for is written, nothing that led to it is read again."""
+        keep = {f._scratch_path for f in frames}
+        for path in [p for p in self.written if p not in keep]:
+            self._delete(path)
+        self.written = [p for p in self.written if p in keep]
+
     def _delete(self, path: str) -> None:
         sc = self.spark.sparkContext
         if sc._jsc is None:

@@ -32,10 +32,10 @@ BREAK = "\n"
 BROADCAST_ROWS = 1_000_000
 
 
-def shingles(line: Column, width: int = WIDTH) -> Column:
-    """Hashes of the distinct shingles, ascending."""
+def shingles(line: Column, width: int = WIDTH, hashed=F.xxhash64) -> Column:
+    """Hashes of the distinct shingles."""
     every = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{width}}}))"), F.lit(1))
-    return F.sort_array(F.array_distinct(F.when(F.char_length(line) <= width, F.array(F.xxhash64(line))).otherwise(F.transform(every, lambda s: F.xxhash64(s)))))
+    return F.array_distinct(F.when(F.char_length(line) <= width, F.array(hashed(line))).otherwise(F.transform(every, lambda s: hashed(s))))
 
 
 def sketches(line: Column, width: int = WIDTH) -> Column:
@@ -71,38 +71,45 @@ def _agreed(a: Column | str, b: Column | str) -> Column:
     return F.array_max(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: one(x, y)))))
 
 
+def _decided(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose exact Jaccard reaches the threshold."""
+    text = lambda n: texts.select(F.col("node").alias(n), F.col("line").alias(f"l{n}"))
+    both = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", shingles(F.col("la")).alias("ha"), shingles(F.col("lb")).alias("hb"))
+    common = F.size(F.array_intersect("ha", "hb"))
+    return both.where(common >= F.lit(threshold) * (F.size("ha") + F.size("hb") - common)).select("a", "b")
+
+
 def _similar(nodes: DataFrame, texts: DataFrame, threshold: float):
     def verify(pairs: DataFrame) -> DataFrame:
         sketch = lambda n: nodes.select(F.col("node").alias(n), F.col("sketch").alias(f"s{n}"))
         near = pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(_agreed("sa", "sb") >= LEAST_AGREED).select("a", "b")
-        text = lambda n: texts.select(F.col("node").alias(n), F.col("line").alias(f"l{n}"))
-        both = near.join(text("a"), "a").join(text("b"), "b").select("a", "b", shingles(F.col("la")).alias("ha"), shingles(F.col("lb")).alias("hb"))
-        common = F.size(F.array_intersect("ha", "hb"))
-        return both.where(common >= F.lit(threshold) * (F.size("ha") + F.size("hb") - common)).select("a", "b")
+        return _decided(near, texts, threshold)
 
     return verify
 
 
 def _block_edges(nodes: DataFrame, texts: DataFrame, threshold: float):
     """Decides the pairs of two blocks of a bucket within one row: sizes first, then sketches, then the whole sets. A pair
-    counts in the least band that its lines share."""
+    counts in the least band that its lines share. The sets come as 32-bit hashes, so pairs pass a little under the
+    threshold here, and those that pass are decided again from their lines."""
+    near = threshold - 0.02
 
     def enough(common: Column, a: Column, b: Column) -> Column:
-        return common >= F.lit(threshold) * (F.size(a) + F.size(b) - common)
+        return common >= F.lit(near) * (F.size(a) + F.size(b) - common)
 
     def pair(x: Column, y: Column) -> Column:
         other = (x["c"] != y["c"]) & ((x["node"] < y["node"]) | ~(x["right"] & y["left"]))
-        sizes = F.least(F.size(x["h"]), F.size(y["h"])) >= F.lit(threshold) * F.greatest(F.size(x["h"]), F.size(y["h"]))
+        sizes = F.least(F.size(x["h"]), F.size(y["h"])) >= F.lit(near) * F.greatest(F.size(x["h"]), F.size(y["h"]))
         here = x["fine"] | (F.array_min(F.array_intersect(x["keys"], y["keys"])) == x["key"])
         return other & sizes & here & (_agreed(x["sketch"], y["sketch"]) >= LEAST_AGREED) & enough(F.size(F.array_intersect(x["h"], y["h"])), x["h"], y["h"])
 
     def blocks(dealt: DataFrame) -> DataFrame:
         need = dealt.select("node").distinct()
-        sets = texts.join(need, "node").join(nodes, "node").select("node", "sketch", F.array_distinct(F.flatten(F.transform("sketch", bands))).alias("keys"), shingles(F.col("line")).alias("h"))
+        sets = texts.join(need, "node").join(nodes, "node").select("node", "sketch", F.array_distinct(F.flatten(F.transform("sketch", bands))).alias("keys"), shingles(F.col("line"), hashed=F.hash).alias("h"))
         full = dealt.join(sets, "node").groupBy("key", "fine", "i", "j").agg(F.collect_list(F.struct("left", "right", "node", "c", "key", "fine", "sketch", "keys", "h")).alias("m"))
         edge = lambda x, y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"))
         found = F.transform(F.filter("m", lambda x: x["left"]), lambda x: F.transform(F.filter("m", lambda y: y["right"] & pair(x, y)), lambda y: edge(x, y)))
-        return full.select(F.explode(F.flatten(found)).alias("e")).select("e.a", "e.b").distinct()
+        return _decided(full.select(F.explode(F.flatten(found)).alias("e")).select("e.a", "e.b").distinct(), texts, threshold)
 
     return blocks
 
@@ -127,11 +134,14 @@ def drop_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts = scratch.write(own.groupBy("node").agg(F.min("line").alias("line")), "texts")
     some = scratch.write(nodes.join(F.broadcast(who) if small else who, "node", "left_semi").select("node", "sketch"), "some")
     found = link_buckets(members, _similar(some, texts, threshold), _block_edges(some, texts, threshold), scratch)
+    scratch.only(met, nodes, found)
     every = nodes.join(found, "node", "left").select("node", "at", "n", F.coalesce("component", "node").alias("c"))
     first = every.groupBy("c").agg(F.min("at").alias("first"), F.sum("n").alias("n")).where(F.col("n") > 1)
     classes = scratch.write(every.join(first.drop("n"), "c").select("node", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos")), "classes")
     gone = met.select("doc_id", "pos", "node").join(classes, "node").where(~(F.expr("doc_id <=> first_doc") & (F.col("pos") == F.col("first_pos"))))
-    return scratch.write(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("dropped")), "gone")
+    out = scratch.write(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("dropped")), "gone")
+    scratch.only(out)
+    return out
 
 
 def _with_dropped(docs: DataFrame, threshold: float) -> tuple[DataFrame, str]:

@@ -324,6 +324,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     are null or repeat, rows are told apart by their shingles."""
     out, scratch = near_duplicates(docs)
     out = scratch.write(out, "out")
+    scratch.only(out)
     ids = out.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()
     if ids["n"] == ids["d"]:
         gone = out.where(~F.expr("kept AND doc_id <=> class_id")).select("doc_id")
