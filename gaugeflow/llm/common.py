@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -28,6 +29,18 @@ def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """While it holds, plans that run hand Python at most so many rows at a time: for rows that hold whole blocks."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, "10000")
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def free_name(columns: list[str], name: str) -> str:
     """A column name that a table doesn't have yet."""
     taken = {c.lower() for c in columns}

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, settle, table
+from .common import Scratch, bound_batches, settle, small_batches, table
 from .graph import components
 
 THRESHOLD = 0.9
@@ -240,7 +240,8 @@ def descend(nodes: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) ->
             last = n
         near = scratch.write(_flat(lists, False).where(F.col("sim") >= low).select("x", "y").unionByName(seen).distinct(), "near")
         more = saturated(near, lists, nodes, low, scratch)
-        pairs = scratch.write(near.unionByName(more).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "over")
+        with small_batches(nodes.sparkSession, 16):
+            pairs = scratch.write(near.unionByName(more).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "over")
         if not truth:
             break
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -265,6 +266,7 @@ def link(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     labels too, are not read.
     """
     scratch = Scratch(rows.sparkSession)
+    bound_batches(rows.sparkSession)
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     own = scratch.write(vectors(rows).select("vec_id", "node", "vec"), "own")
     halves = own.groupBy("node").agg(F.min("vec").alias("vec"), F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.max(F.coalesce(F.pmod("vec_id", F.lit(100)) == 0, F.lit(False))).alias("audited"))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, small_batches
 
 
 def _large(e: DataFrame) -> DataFrame:
@@ -57,6 +57,8 @@ def bucket_members(banded: DataFrame, scratch: Scratch) -> DataFrame:
 
 #: Members of one block of a bucket that is compared block by block.
 BLOCK = 256
+#: Pairs of blocks handed to Python at a time.
+BLOCK_ROWS = 8
 #: Members from which a bucket is first split by its nodes' other buckets.
 CROWD = 4096
 
@@ -84,5 +86,6 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], b
     every = rest.where(F.col("n") <= CROWD).select("key", "node", "c", "n", F.lit(False).alias("fine")).unionByName(fine.join(sizes, "key").select("key", "node", "c", "n", F.lit(True).alias("fine")))
     n = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = every.select("key", "fine", "node", "c", F.pmod(F.xxhash64("node", "key"), n).cast("int").alias("h"), F.explode(F.sequence(F.lit(0), n - 1)).alias("t"))
-    edges.append(scratch.write(blocks(dealt.select("key", "fine", F.least("h", "t").alias("i"), F.greatest("h", "t").alias("j"), (F.col("h") <= F.col("t")).alias("left"), (F.col("h") >= F.col("t")).alias("right"), "node", "c")), "edges"))
+    with small_batches(rest.sparkSession, BLOCK_ROWS):
+        edges.append(scratch.write(blocks(dealt.select("key", "fine", F.least("h", "t").alias("i"), F.greatest("h", "t").alias("j"), (F.col("h") <= F.col("t")).alias("left"), (F.col("h") >= F.col("t")).alias("right"), "node", "c")), "edges"))
     return scratch.write(components(reduce(DataFrame.unionByName, edges), scratch), "found")
