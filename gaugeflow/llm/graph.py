@@ -57,6 +57,8 @@ def bucket_members(banded: DataFrame, scratch: Scratch) -> DataFrame:
 
 #: Members of one block of a bucket that is compared block by block.
 BLOCK = 256
+#: Further nodes that a bucket of more than BLOCK nodes is compared with, one after the other.
+STARS = 4
 #: Pairs of blocks handed to Python at a time.
 BLOCK_ROWS = 8
 #: Members from which a bucket is first split by its nodes' other buckets.
@@ -66,7 +68,8 @@ CROWD = 4096
 def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], blocks: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
     """Components of the similarity that verify decides on pairs (a, b), candidates being the pairs within a bucket.
 
-    Every node is compared with its bucket's lead, so copies of one text are settled by a comparison each. Of a bucket
+    Every node is compared with its bucket's lead, so copies of one text are settled by a comparison each; a large
+    bucket that then holds several components is compared with a few more of its nodes, drawn by a hash. Of a bucket
     that still holds several components, the other pairs are decided too, as far as they lie in two of them: blocks
     gets the members of pairs of blocks, rows (key, fine, i, j, left, right, node, c), and returns edges (a, b) between
     left and right, so pairs that fail are never rows. The result misses no link between components that the
@@ -74,10 +77,17 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], b
     """
     checked = scratch.write(members.where(F.col("lead") != F.col("node")).select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct(), "pairs")
     edges = [scratch.write(verify(checked), "edges")]
-    found = scratch.write(components(edges[0], scratch), "found")
-    of = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    several = of.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where((F.col("lo") != F.col("hi")) & (F.col("n") > 2))
-    rest = scratch.write(of.join(several.select("key", "n"), "key"), "rest")
+    for turn in range(STARS + 1):
+        found = scratch.write(components(reduce(DataFrame.unionByName, edges), scratch), "found")
+        of = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+        several = of.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where((F.col("lo") != F.col("hi")) & (F.col("n") > 2))
+        rest = scratch.write(of.join(several.select("key", "n"), "key"), "rest")
+        large = rest.where(F.col("n") > BLOCK)
+        if turn == STARS or large.isEmpty():
+            break
+        lead = large.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "c")).alias("m")).select("key", F.col("m.node").alias("x"), F.col("m.c").alias("cx"))
+        new = large.join(lead, "key").where(F.col("c") != F.col("cx")).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+        edges.append(scratch.write(verify(scratch.write(new, "pairs")), "edges"))
     if rest.isEmpty():
         return found
     crowd = rest.where(F.col("n") > CROWD).select("key", "node", "c").join(members.select("node", F.col("key").alias("other")), "node").where(F.col("key") != F.col("other"))

@@ -90,16 +90,16 @@ def _similar(nodes: DataFrame, texts: DataFrame, threshold: float):
 
 def _block_edges(nodes: DataFrame, texts: DataFrame, threshold: float):
     """Decides the pairs of two blocks of a bucket within one row: sizes first, then sketches, then the whole sets. A pair
-    counts in the least band that its lines share. The sets come as 32-bit hashes, so pairs pass a little under the
-    threshold here, and those that pass are decided again from their lines."""
-    near = threshold - 0.02
+    counts in the least band that its lines share, and links the two components that its lines lie in, so many links
+    between the same two are one row. The sets come as 32-bit hashes; two shingles of a pair fall together with a
+    probability of about 1e-5, and then shift the Jaccard by one element."""
 
     def enough(common: Column, a: Column, b: Column) -> Column:
-        return common >= F.lit(near) * (F.size(a) + F.size(b) - common)
+        return common >= F.lit(threshold) * (F.size(a) + F.size(b) - common)
 
     def pair(x: Column, y: Column) -> Column:
         other = (x["c"] != y["c"]) & ((x["node"] < y["node"]) | ~(x["right"] & y["left"]))
-        sizes = F.least(F.size(x["h"]), F.size(y["h"])) >= F.lit(near) * F.greatest(F.size(x["h"]), F.size(y["h"]))
+        sizes = F.least(F.size(x["h"]), F.size(y["h"])) >= F.lit(threshold) * F.greatest(F.size(x["h"]), F.size(y["h"]))
         here = x["fine"] | (F.array_min(F.array_intersect(x["keys"], y["keys"])) == x["key"])
         return other & sizes & here & (_agreed(x["sketch"], y["sketch"]) >= LEAST_AGREED) & enough(F.size(F.array_intersect(x["h"], y["h"])), x["h"], y["h"])
 
@@ -107,9 +107,9 @@ def _block_edges(nodes: DataFrame, texts: DataFrame, threshold: float):
         need = dealt.select("node").distinct()
         sets = texts.join(need, "node").join(nodes, "node").select("node", "sketch", F.array_distinct(F.flatten(F.transform("sketch", bands))).alias("keys"), shingles(F.col("line"), hashed=F.hash).alias("h"))
         full = dealt.join(sets, "node").groupBy("key", "fine", "i", "j").agg(F.collect_list(F.struct("left", "right", "node", "c", "key", "fine", "sketch", "keys", "h")).alias("m"))
-        edge = lambda x, y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"))
-        found = F.transform(F.filter("m", lambda x: x["left"]), lambda x: F.transform(F.filter("m", lambda y: y["right"] & pair(x, y)), lambda y: edge(x, y)))
-        return _decided(full.select(F.explode(F.flatten(found)).alias("e")).select("e.a", "e.b").distinct(), texts, threshold)
+        edge = lambda x, y: F.struct(F.least(x["c"], y["c"]).alias("a"), F.greatest(x["c"], y["c"]).alias("b"))
+        found = F.transform(F.filter("m", lambda x: x["left"]), lambda x: F.array_distinct(F.transform(F.filter("m", lambda y: y["right"] & pair(x, y)), lambda y: edge(x, y))))
+        return full.select(F.explode(F.array_distinct(F.flatten(found))).alias("e")).select("e.a", "e.b").distinct()
 
     return blocks
 
