@@ -111,7 +111,7 @@ class Packer:
         stream = np.concatenate([d[1][d[2] :] for d in self.docs])
         ends = np.cumsum([len(d[1]) - d[2] for d in self.docs])
         inside = np.nonzero(self.marks[np.minimum(stream, len(self.marks) - 1)])[0] + 1
-        pos, pen = candidates(len(stream), ends, inside)
+        pos, pen = candidates(len(stream), ends, inside, min(FORCED_EVERY, self.window))
         cuts = pos[best_cuts(pos.tolist(), pen.tolist(), self.window)]
         if not last:
             cuts = cuts[:-2] if len(cuts) > 3 else cuts[:1]
