@@ -1,11 +1,10 @@
 """Line dedup (operator 6): fuzzy lines by MinHash, in DataFrame and SQL functions only.
 
 A line's set is its distinct character shingles (`WIDTH` code points at every position; a shorter line is one shingle),
-and lines whose exact Jaccard reaches the threshold are linked. Candidates come from a bottom-k MinHash of the shingles
-that start a word, a fixed part of the set that costs a sixth; of lines with hardly any word starts it takes all
-positions, and near the border between the two kinds a line has both sketches. Bands are runs of neighbouring sketch
-elements, so a pair of similarity 0.8 shares no band with probability 0.007. Pairs whose sketches agree are decided by
-the exact Jaccard, and distributed union-find keeps one line, the first by (doc_id, position), of each component.
+and lines whose exact Jaccard reaches the threshold are linked. Candidates come from a bottom-k MinHash of the whole set,
+so where in a line an edit lies makes no difference. Bands are runs of neighbouring sketch elements, so a pair of
+similarity 0.8 shares no band with probability 0.007. Pairs whose sketches agree are decided by the exact Jaccard, and
+distributed union-find keeps one line, the first by (doc_id, position), of each component.
 
 Equal lines are one node from the start, found by a 64-bit hash; where two different lines have the same hash, which
 their crc32 tells, all of them stay.
@@ -23,8 +22,6 @@ WIDTH = 10
 THRESHOLD = 0.8
 #: Sketch elements; the first BANDED of them make bands of ROWS neighbours.
 SKETCH, BANDED, ROWS = 16, 8, 2
-#: Characters a word, on average, up to which a line is sketched by its word starts; and from which by all positions.
-WORDY, WORDLESS = 20, 12
 #: Candidates whose sketches share a smaller part go (three and a half standard errors under the threshold).
 LEAST_AGREED = 0.45
 BREAK = "\n"
@@ -38,13 +35,9 @@ def shingles(line: Column, width: int = WIDTH, hashed=F.xxhash64) -> Column:
     return F.array_distinct(F.when(F.char_length(line) <= width, F.array(hashed(line))).otherwise(F.transform(every, lambda s: hashed(s))))
 
 
-def sketches(line: Column, width: int = WIDTH) -> Column:
-    """One or two sketches of a line, each the least hashes of its part of the shingles, ascending."""
-    n, words = F.char_length(line), F.regexp_count(line, F.lit(r"\S+"))
-    small = lambda found: F.slice(F.sort_array(F.array_distinct(F.transform(found, lambda s: F.hash(s)))), 1, SKETCH)
-    starts = small(F.regexp_extract_all(line, F.lit(rf"(?s)(?:^|\s)(?=(\S.{{0,{width - 1}}}))"), F.lit(1)))
-    every = small(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{width}}}))"), F.lit(1)))
-    return F.when(n <= width, F.array(F.array(F.hash(line)))).when(n <= WORDLESS * words, F.array(starts)).when(n > WORDY * words, F.array(every)).otherwise(F.array(starts, every))
+def sketch_of(line: Column, width: int = WIDTH) -> Column:
+    """The least hashes of a line's shingles, ascending."""
+    return F.slice(F.sort_array(F.array_distinct(shingles(line, width, F.hash))), 1, SKETCH)
 
 
 def bands(sketch: Column) -> Column:
@@ -61,14 +54,9 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def _agreed(a: Column | str, b: Column | str) -> Column:
-    """The part of the union's least elements that both sketches hold, of the two kinds the larger."""
-
-    def one(x: Column, y: Column) -> Column:
-        k = F.least(F.size(x), F.size(y))
-        return F.size(F.array_intersect(F.slice(F.sort_array(F.array_union(x, y)), F.lit(1), k), F.array_intersect(x, y))) / k
-
-    a, b = (F.col(v) if isinstance(v, str) else v for v in (a, b))
-    return F.array_max(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: one(x, y)))))
+    """The part of the union's least elements that both sketches hold."""
+    k = F.least(F.size(a), F.size(b))
+    return F.size(F.array_intersect(F.slice(F.sort_array(F.array_union(a, b)), F.lit(1), k), F.array_intersect(a, b))) / k
 
 
 def _decided(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -105,7 +93,7 @@ def _block_edges(nodes: DataFrame, texts: DataFrame, threshold: float):
 
     def blocks(dealt: DataFrame) -> DataFrame:
         need = dealt.select("node").distinct()
-        sets = texts.join(need, "node").join(nodes, "node").select("node", "sketch", F.array_distinct(F.flatten(F.transform("sketch", bands))).alias("keys"), shingles(F.col("line"), hashed=F.hash).alias("h"))
+        sets = texts.join(need, "node").join(nodes, "node").select("node", "sketch", F.array_distinct(bands(F.col("sketch"))).alias("keys"), shingles(F.col("line"), hashed=F.hash).alias("h"))
         full = dealt.join(sets, "node").groupBy("key", "fine", "i", "j").agg(F.collect_list(F.struct("left", "right", "node", "c", "key", "fine", "sketch", "keys", "h")).alias("m"))
         edge = lambda x, y: F.struct(F.least(x["c"], y["c"]).alias("a"), F.greatest(x["c"], y["c"]).alias("b"))
         found = F.transform(F.filter("m", lambda x: x["left"]), lambda x: F.array_distinct(F.transform(F.filter("m", lambda y: y["right"] & pair(x, y)), lambda y: edge(x, y))))
@@ -122,11 +110,11 @@ def drop_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     position all count as that first line. An empty table gives no row. Other columns of docs are not read.
     """
     scratch = Scratch(docs.sparkSession)
-    met = lines(docs).select("doc_id", "pos", F.xxhash64("line").alias("node"), F.crc32(F.col("line").cast("binary")).alias("crc"), sketches(F.col("line")).alias("sketch"))
+    met = lines(docs).select("doc_id", "pos", F.xxhash64("line").alias("node"), F.crc32(F.col("line").cast("binary")).alias("crc"), sketch_of(F.col("line")).alias("sketch"))
     met = scratch.write(met, "met")
     nodes = met.groupBy("node").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.min("sketch").alias("sketch"), F.count("*").alias("n"), F.min("crc").alias("c1"), F.max("crc").alias("c2"))
     nodes = scratch.write(nodes.where(F.col("c1") == F.col("c2")).drop("c1", "c2"), "nodes")
-    keys = nodes.select("node", F.explode(F.array_distinct(F.flatten(F.transform("sketch", bands)))).alias("key"))
+    keys = nodes.select("node", F.explode(F.array_distinct(bands(F.col("sketch")))).alias("key"))
     members = bucket_members(keys, scratch)
     who = scratch.write(members.select("node").distinct(), "who")
     small = who.count() <= BROADCAST_ROWS
