@@ -61,8 +61,6 @@ BLOCK = 256
 STARS = 4
 #: Pairs of blocks handed to Python at a time.
 BLOCK_ROWS = 8
-#: Members from which a bucket is first split by its nodes' other buckets.
-CROWD = 4096
 
 
 def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], blocks: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
@@ -71,9 +69,9 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], b
     Every node is compared with its bucket's lead, so copies of one text are settled by a comparison each; a large
     bucket that then holds several components is compared with a few more of its nodes, drawn by a hash. Of a bucket
     that still holds several components, the other pairs are decided too, as far as they lie in two of them: blocks
-    gets the members of pairs of blocks, rows (key, fine, i, j, left, right, node, c), and returns edges (a, b) between
-    left and right, so pairs that fail are never rows. The result misses no link between components that the
-    candidates hold; only in a bucket of more than CROWD nodes must a pair share a second bucket (its rows are fine).
+    gets the members of pairs of blocks, rows (key, i, j, left, right, node, c), and returns edges (a, b) between left
+    and right, so pairs that fail are never rows. The result misses no link between components that the candidates
+    hold, however large a bucket is.
     """
     checked = scratch.write(members.where(F.col("lead") != F.col("node")).select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct(), "pairs")
     edges = [scratch.write(verify(checked), "edges")]
@@ -90,12 +88,8 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], b
         edges.append(scratch.write(verify(scratch.write(new, "pairs")), "edges"))
     if rest.isEmpty():
         return found
-    crowd = rest.where(F.col("n") > CROWD).select("key", "node", "c").join(members.select("node", F.col("key").alias("other")), "node").where(F.col("key") != F.col("other"))
-    fine = crowd.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "node", "c").distinct()
-    sizes = fine.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    every = rest.where(F.col("n") <= CROWD).select("key", "node", "c", "n", F.lit(False).alias("fine")).unionByName(fine.join(sizes, "key").select("key", "node", "c", "n", F.lit(True).alias("fine")))
     n = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = every.select("key", "fine", "node", "c", F.pmod(F.xxhash64("node", "key"), n).cast("int").alias("h"), F.explode(F.sequence(F.lit(0), n - 1)).alias("t"))
+    dealt = rest.select("key", "node", "c", F.pmod(F.xxhash64("node", "key"), n).cast("int").alias("h"), F.explode(F.sequence(F.lit(0), n - 1)).alias("t"))
     with small_batches(rest.sparkSession, BLOCK_ROWS):
-        edges.append(scratch.write(blocks(dealt.select("key", "fine", F.least("h", "t").alias("i"), F.greatest("h", "t").alias("j"), (F.col("h") <= F.col("t")).alias("left"), (F.col("h") >= F.col("t")).alias("right"), "node", "c")), "edges"))
+        edges.append(scratch.write(blocks(dealt.select("key", F.least("h", "t").alias("i"), F.greatest("h", "t").alias("j"), (F.col("h") <= F.col("t")).alias("left"), (F.col("h") >= F.col("t")).alias("right"), "node", "c")), "edges"))
     return scratch.write(components(reduce(DataFrame.unionByName, edges), scratch), "found")

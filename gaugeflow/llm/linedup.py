@@ -88,13 +88,13 @@ def _block_edges(nodes: DataFrame, texts: DataFrame, threshold: float):
     def pair(x: Column, y: Column) -> Column:
         other = (x["c"] != y["c"]) & ((x["node"] < y["node"]) | ~(x["right"] & y["left"]))
         sizes = F.least(F.size(x["h"]), F.size(y["h"])) >= F.lit(threshold) * F.greatest(F.size(x["h"]), F.size(y["h"]))
-        here = x["fine"] | (F.array_min(F.array_intersect(x["keys"], y["keys"])) == x["key"])
+        here = F.array_min(F.array_intersect(x["keys"], y["keys"])) == x["key"]
         return other & sizes & here & (_agreed(x["sketch"], y["sketch"]) >= LEAST_AGREED) & enough(F.size(F.array_intersect(x["h"], y["h"])), x["h"], y["h"])
 
     def blocks(dealt: DataFrame) -> DataFrame:
         need = dealt.select("node").distinct()
         sets = texts.join(need, "node").join(nodes, "node").select("node", "sketch", F.array_distinct(bands(F.col("sketch"))).alias("keys"), shingles(F.col("line"), hashed=F.hash).alias("h"))
-        full = dealt.join(sets, "node").groupBy("key", "fine", "i", "j").agg(F.collect_list(F.struct("left", "right", "node", "c", "key", "fine", "sketch", "keys", "h")).alias("m"))
+        full = dealt.join(sets, "node").groupBy("key", "i", "j").agg(F.collect_list(F.struct("left", "right", "node", "c", "key", "sketch", "keys", "h")).alias("m"))
         edge = lambda x, y: F.struct(F.least(x["c"], y["c"]).alias("a"), F.greatest(x["c"], y["c"]).alias("b"))
         found = F.transform(F.filter("m", lambda x: x["left"]), lambda x: F.array_distinct(F.transform(F.filter("m", lambda y: y["right"] & pair(x, y)), lambda y: edge(x, y))))
         return full.select(F.explode(F.array_distinct(F.flatten(found))).alias("e")).select("e.a", "e.b").distinct()

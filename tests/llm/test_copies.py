@@ -9,6 +9,7 @@ from itertools import combinations
 import numpy as np
 from compare import SMALL
 from awkward_docs import prose
+from pyspark.sql import functions as F
 
 from gaugeflow.llm import embeddings, graph, linedup, minhash
 from gaugeflow.llm.common import Scratch
@@ -202,6 +203,22 @@ def test_components(spark):
     assert got == {i: want[i] for a, b in links if a != b for i in (a, b)}
 
 
+def test_a_crowded_bucket_loses_no_link(spark):
+    """Pairs that share one large bucket and no other are still compared."""
+    n = 4200
+    scratch, same = Scratch(spark), lambda a, b: F.shiftright(a, 1) == F.shiftright(b, 1)
+    members = spark.range(n).select(F.lit(7).cast("long").alias("key"), F.lit(0).cast("long").alias("lead"), F.col("id").alias("node"))
+
+    def blocks(dealt):
+        x, y = dealt.where("left").alias("x"), dealt.where("right").alias("y")
+        of = lambda c: F.col(f"x.{c}") == F.col(f"y.{c}")
+        pair = F.shiftright(F.col("x.node"), 1).alias("p"), F.shiftright(F.col("y.node"), 1).alias("q")
+        return x.join(y, of("key") & of("i") & of("j") & (pair[0] == pair[1]) & (F.col("x.c") != F.col("y.c"))).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+    found = graph.link_buckets(members, lambda pairs: pairs.where(same("a", "b")), blocks, scratch)
+    assert {r["node"]: r["component"] for r in found.collect()} == {i: i // 2 * 2 for i in range(n)}
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(6)
     centres = rng.standard_normal((12, 16))
