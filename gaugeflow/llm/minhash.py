@@ -4,7 +4,9 @@ A text's weighted set is its five-word shingles with their counts. Each element
 is its weight; every arrival falls on a random register, which keeps the earliest one. A text stops as soon as no
 element can still come before the latest register. Two texts then agree on a register with the probability Jaccard
 J_P = sum over common d of 1 / sum_e max(x_e / x_d, y_e / y_d). Bands of registers find candidates, and exact J_P (or
-the plain Jaccard of the distinct shingles, if that is larger) decides.
+the plain Jaccard of the distinct shingles, if that is larger) decides. A text that repeats shingles has a second
+signature of its distinct ones, with bands of its own: a passage that one copy repeats lowers J_P at will and leaves
+the plain Jaccard as it is. Of a text without repeats both signatures are the same, so it meets either kind.
 
 Texts with the same shingles and counts are one node from the start, so exact copies cost one row each and no pair.
 A bucket's nodes are first compared with the node that shares most buckets. What a bucket then still holds of several
@@ -28,7 +30,8 @@ from .graph import bucket_members, link_buckets
 WORDS = 5
 THRESHOLD = 0.8
 REGISTERS, ROWS = 100, 5
-#: Candidates whose signatures agree on less than this share of registers (five standard errors under the threshold) go.
+#: Candidates whose signatures, of counted and of distinct shingles, both agree on less than this share of registers (five
+#: standard errors under the threshold) go.
 LEAST_AGREED = 0.6
 PIECE_BYTES = 4 << 20
 #: Candidate ids up to which a table is sent to every executor (24 bytes each); beyond it they are joined by shuffle.
@@ -137,6 +140,34 @@ def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return np.stack(out, 1).view(np.int64)
 
 
+def signatures(rows: int, at: np.ndarray, h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures (rows x REGISTERS) of the counted and of the distinct shingles; equal in a row that repeats none."""
+    sig = prob_minhash(rows, at, h, count.astype(float))
+    again = np.zeros(rows, bool)
+    again[at[count > 1]] = True
+    plain = sig.copy()
+    if again.any():
+        some = again[at]
+        place = np.cumsum(again) - 1
+        plain[again] = prob_minhash(int(again.sum()), place[at[some]], h[some], np.ones(int(some.sum())))
+    return sig, plain
+
+
+def packed(sig: np.ndarray, plain: np.ndarray) -> list[bytes]:
+    """Both signatures of each row, one after the other; once where they are equal."""
+    return [x.tobytes() if (x == y).all() else x.tobytes() + y.tobytes() for x, y in zip(sig, plain)]
+
+
+def unpacked(column: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(b"".join(x if len(x) > 4 * REGISTERS else x + x for x in column), np.uint32).reshape(len(column), 2, REGISTERS)
+    return both[:, 0], both[:, 1]
+
+
+def agreement(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Share of the registers on which rows agree, of the two kinds the larger."""
+    return np.maximum(*((x == y).mean(1) for x, y in zip(a, b)))
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
     """Exact probability Jaccard and plain Jaccard of two weighted sets (ascending hashes, counts). O(n log n): the sum
     over e of max(x_e / x_d, y_e / y_d) splits at the ratio x_d / y_d."""
@@ -186,14 +217,14 @@ def sign(docs: DataFrame) -> DataFrame:
             ids = b.column("doc_id")
             for i, at, h, count, words in shingles(b.column("text")):
                 n = len(words)
-                sig = prob_minhash(n, at, h, count.astype(float))
-                keys, node = bands(sig), digests(n, at, h, count)
+                sig, plain = signatures(n, at, h, count)
+                keys, node = [np.unique(x) for x in np.concatenate([bands(sig), bands(plain)], 1)], digests(n, at, h, count)
                 some = words > 0
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(i, n),
                         pa.array([x.tobytes() if ok else None for x, ok in zip(node, some)], pa.binary()),
-                        pa.array([x.tobytes() if ok else None for x, ok in zip(sig, some)], pa.binary()),
+                        pa.array([x if ok else None for x, ok in zip(packed(sig, plain), some)], pa.binary()),
                         pa.array([x if ok else None for x, ok in zip(keys, some)], pa.list_(pa.int64())),
                     ],
                     ["doc_id", "node", "sig", "bands"],
@@ -224,8 +255,8 @@ def _verify(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
         for b in batches:
-            s, t = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(b.num_rows, -1) for c in ("sa", "sb"))
-            yield b.select(["a", "b"]).filter(pa.array((s == t).mean(1) >= LEAST_AGREED)) if b.num_rows else b.select(["a", "b"])
+            s, t = (unpacked(b.column(c).to_pylist()) for c in ("sa", "sb"))
+            yield b.select(["a", "b"]).filter(pa.array(agreement(s, t) >= LEAST_AGREED)) if b.num_rows else b.select(["a", "b"])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
@@ -240,7 +271,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
 
 def _block_edges(nodes: DataFrame, threshold: float):
     """Decides the pairs of two blocks of a bucket within one row, so that pairs that fail are never rows. A pair counts
-    in the first band that its texts share."""
+    in the first band that its texts share, one of counted shingles before one of distinct ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
@@ -251,23 +282,26 @@ def _block_edges(nodes: DataFrame, threshold: float):
                 node = flat.field("node").to_pylist()
                 c = np.unique(flat.field("c").to_pylist(), return_inverse=True)[1]
                 left, right = (np.nonzero(flat.field(k).to_numpy(zero_copy_only=False))[0] for k in ("left", "right"))
-                sig = np.frombuffer(b"".join(flat.field("sig").to_pylist()), np.uint32).reshape(len(node), -1)
-                band = bands(sig)
+                sig, plain = unpacked(flat.field("sig").to_pylist())
+                band = np.concatenate([bands(sig), bands(plain)], 1)
+                kinds = band.shape[1] // 2
                 x, y = (v.ravel() for v in np.meshgrid(left, right, indexing="ij"))
                 # in a block against itself each pair comes once
                 ok = (c[x] != c[y]) & ((x < y) | ~(np.isin(x, right) & np.isin(y, left)))
                 x, y = x[ok], y[ok]
                 first = np.full(len(x), -1)
                 for k in range(band.shape[1] - 1, -1, -1):
-                    first[band[x, k] == band[y, k]] = k
+                    # a key that both hold, be it of the same kind in both or not
+                    first[(band[x, k] == band[y, k]) | (band[x, k] == band[y, (k + kinds) % band.shape[1]])] = k
                 ok = band[x, first] == key
                 x, y = x[ok], y[ok]
                 if not len(x):
                     continue
-                agreed = np.zeros(len(x))
-                for k in range(sig.shape[1]):
-                    agreed += sig[x, k] == sig[y, k]
-                ok = agreed >= LEAST_AGREED * sig.shape[1]
+                agreed = np.zeros((2, len(x)))
+                for kind, regs in enumerate((sig, plain)):
+                    for k in range(REGISTERS):
+                        agreed[kind] += regs[x, k] == regs[y, k]
+                ok = agreed.max(0) >= LEAST_AGREED * REGISTERS
                 x, y = x[ok], y[ok]
                 need = np.unique(np.concatenate([x, y]))
                 sets = dict(zip(need.tolist(), _sets(flat.field("text").take(pa.array(need)))))

@@ -64,6 +64,34 @@ def test_classes_are_those_of_brute_force(spark):
     assert sorted(r["doc_id"] for r in minhash.keep_one(docs).collect()) == sorted(set(want))
 
 
+def test_copies_that_repeat_a_passage(spark):
+    """One side repeats 20 of its words again and again: J_P falls as far as one likes, the plain Jaccard stays."""
+    texts = []
+    for k in range(60):
+        words = [f"w{k}x{i}" for i in range(120)]
+        texts += [" ".join(words), " ".join(words[:60] + words[40:60] * (3, 5, 10, 30)[k % 4] + words[60:])]
+    s = [shingle_counts(t) for t in texts]
+    assert all(len(s[a].keys() & s[a + 1].keys()) >= 0.9 * len(s[a].keys() | s[a + 1].keys()) for a in range(0, 120, 2))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["class_id"] for r in minhash.classes(docs).collect()} == {i: i // 2 * 2 for i in range(120)}
+
+
+def test_repeating_copies_in_one_bucket(spark, monkeypatch):
+    """The same through blocks: a chain of texts whose links hold by the plain Jaccard alone, in small blocks."""
+    monkeypatch.setattr(graph, "BLOCK", 4)
+    monkeypatch.setattr(graph, "STARS", 0)
+    base, texts = [f"b{i}" for i in range(400)], []
+    for k in range(24):
+        w = list(base)
+        w[k * 12 : k * 12 + 60] = [f"y{k}_{j}" if j % 2 else w[k * 12 + j] for j in range(60)]
+        texts += [" ".join(w), " ".join(w[:380] + w[360:380] * 12 + w[380:])]
+    s = [shingle_counts(t) for t in texts]
+    links = [(a, b) for a, b in combinations(range(len(s)), 2) if len(s[a].keys() & s[b].keys()) >= 0.8 * len(s[a].keys() | s[b].keys())]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.classes(docs).collect()}
+    assert got == dict(enumerate(union(len(s), links)))
+
+
 def test_a_star_whose_copies_differ_from_each_other(spark):
     """Copies near enough to their source only: the class hangs on the source alone."""
     base = [f"b{i}" for i in range(400)]
