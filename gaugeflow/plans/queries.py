@@ -566,9 +566,9 @@ def simulated_raw(s, d):
 
 @query
 def regime_em(s, d):
-    return regime.fit_segments(simulator.simulate(s, 2, 1900, seed=3), ["timestamp"])
+    return regime.fit_segments(fx.raw(s, d), ["event_id"])
 
 
 @query
 def hamilton_filter(s, d):
-    return regime.regime_messages(regime.detect(simulator.simulate(s, 2, 1900, seed=3), ["timestamp"]))
+    return regime.regime_messages(regime.detect(fx.raw(s, d), ["event_id"]))

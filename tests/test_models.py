@@ -178,3 +178,22 @@ def test_delta_and_backfill(spark):
     live = df.where("timestamp >= 7500")
     got = views.backfill(live, df, 8)
     assert sorted(r["timestamp"] for r in got.where("origin = 'archive'").collect()) == [6000, 6500, 7000]
+
+
+def test_regime_queries_read_the_whole_table(spark):
+    """Every station of the events, a fit at every refit that its rows reach, and each fifth filtered row."""
+    from gaugeflow.plans.catalog import QUERIES
+
+    d = "/root/testdata/sf0.01"
+    n = {r["event_type"]: r["count"] for r in spark.read.parquet(f"{d}/events.parquet").groupBy("event_type").count().collect()}
+    fits = QUERIES["regime_em"](spark, d).collect()
+    assert sorted((r["station"], r["fitted_at"]) for r in fits) == sorted((k, at) for k, m in n.items() for at in range(1201, m + 1, 600))
+    assert all(np.isfinite(r["loglik"]) and np.isfinite(r["noise"]).all() for r in fits)
+    got = QUERIES["hamilton_filter"](spark, d).groupBy("station").count().collect()
+    assert {r["station"]: r["count"] for r in got} == {k: (m - 1201) // 5 for k, m in n.items()}
+
+
+def test_regimes_of_the_simulated_run(spark):
+    rows = simulator.simulate(spark, 2, 1900, seed=3)
+    assert sorted({r["fitted_at"] for r in regime.fit_segments(rows, ["timestamp"]).collect()}) == [1201, 1801]
+    assert regime.regime_messages(regime.detect(rows, ["timestamp"])).count() == 2 * ((1900 - 1201) // 5)
