@@ -232,3 +232,15 @@ def test_awkward_texts_decode_to_themselves(spark, awkward, nothing):
     again = sorted((r["doc_id"] or 0, r["rank"], r["ids_crc32"], r["log_prob"]) for r in pieces.encode_sampled(awkward.repartition(5), path, 3).collect())
     assert again == sorted((r["doc_id"] or 0, r["rank"], r["ids_crc32"], r["log_prob"]) for r in pieces.encode_sampled(awkward, path, 3).collect())
     assert pieces.encode_sampled(nothing, path).count() == 0
+
+
+def test_ids_come_out_and_decode_to_their_text(spark, awkward):
+    path = pieces.default_path()
+    got = pieces.encode_sampled(awkward, path, 3)
+    for r in got.collect():
+        assert len(r["ids"]) == r["n_ids"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
+    back = pieces.decode_ids(got.select("doc_id", "rank", "ids"), path)
+    assert back.columns == ["doc_id", "rank", "ids", "text"]
+    assert {(r["doc_id"], r["text"]) for r in back.collect()} == {(r["doc_id"], r["text"] or "") for r in awkward.select("doc_id", "text").collect()}
+    odd = pieces.decode_ids(spark.createDataFrame([(None,), ([],)], "ids array<int>"), path).collect()
+    assert [r["text"] for r in odd] == [None, ""]
