@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,69 +26,72 @@ def _small(e: DataFrame) -> DataFrame:
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """edges: (a, b) of one orderable type, in any direction, loops and repeats allowed. Returns (node, component) for
     every node that has an edge to another; component is the least node reached. Each round writes its edges, so a lost
-    executor costs a round at most; no step gathers a node's neighbours in one place."""
+    executor costs a round at most. Rounds end when every node has one edge, to a node that has none."""
     now = scratch.write(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
-    mark = None
     for _ in range(rounds):
+        # a node with two edges, or one whose end has an edge itself, isn't settled
+        ends = now.select("a", F.lit(1).alias("out"), F.lit(0).alias("end")).unionByName(now.select(F.col("b").alias("a"), F.lit(0).alias("out"), F.lit(1).alias("end")).distinct())
+        loose = ends.groupBy("a").agg(F.sum("out").alias("out"), F.max("end").alias("end")).where((F.col("out") > 1) | ((F.col("out") == 1) & (F.col("end") == 1)))
+        if loose.isEmpty():
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         new = scratch.write(_small(_large(now).where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), "cc")
         scratch.drop(now)
         now = new
-        found = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(found) == mark:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        mark = tuple(found)
     raise RuntimeError("the components didn't settle")
 
 
-def bucket_members(banded: DataFrame, scratch: Scratch) -> DataFrame:
-    """banded: (key, node), distinct. (key, lead, node) of the buckets that hold two nodes at least. The lead is the node
-    whose buckets are largest in sum, the least of such: among copies of one text that is the text they come from, to
-    which they are more similar than to each other."""
+def stars(banded: DataFrame, scratch: Scratch) -> DataFrame:
+    """banded: (key, node), distinct. (lead, node), distinct: the nodes that share a key with a lead. Each key that two
+    nodes hold has one lead, the node whose keys are held most often in sum, the least of such: among copies of one text
+    that is the text they come from, to which they are more similar than to each other. Keys that mostly the same nodes
+    hold so become one star."""
     shared = banded.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where(F.col("lo") != F.col("hi")).select("key", "n")
     members = scratch.write(banded.join(shared.hint("shuffle_hash"), "key").select("key", "node", "n"), "sized")
     crowd = members.groupBy("node").agg(F.sum("n").alias("crowd"))
     ranked = scratch.write(members.join(crowd, "node").select("key", "node", "crowd"), "ranked")
     lead = ranked.groupBy("key").agg(F.min(F.struct(-F.col("crowd"), "node")).alias("m")).select("key", F.col("m.node").alias("lead"))
-    out = scratch.write(ranked.join(lead, "key").select("key", "lead", "node"), "members")
+    out = scratch.write(ranked.join(lead, "key").where(F.col("lead") != F.col("node")).select("lead", "node").distinct(), "stars")
     scratch.drop(members, ranked)
     return out
 
 
-#: Members of one block of a bucket that is compared block by block.
-BLOCK = 256
-#: Further nodes that a bucket of more than BLOCK nodes is compared with, one after the other.
-STARS = 4
+#: Nodes of one block of a star that is compared block by block, and the bytes of their texts.
+BLOCK, BLOCK_BYTES = 256, 2 << 20
 #: Pairs of blocks handed to Python at a time.
 BLOCK_ROWS = 8
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], blocks: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
-    """Components of the similarity that verify decides on pairs (a, b), candidates being the pairs within a bucket.
+def link_stars(spokes: DataFrame, score: Callable[[DataFrame], DataFrame], blocks: Callable[[DataFrame], DataFrame], scratch: Scratch, reach: float = 1.0) -> DataFrame:
+    """(node, component) of the similarity that score and blocks decide; candidates are the pairs within a star.
 
-    Every node is compared with its bucket's lead, so copies of one text are settled by a comparison each; a large
-    bucket that then holds several components is compared with a few more of its nodes, drawn by a hash. Of a bucket
-    that still holds several components, the other pairs are decided too, as far as they lie in two of them: blocks
-    gets the members of pairs of blocks, rows (key, i, j, left, right, node, c), and returns edges (a, b) between left
-    and right, so pairs that fail are never rows. The result misses no link between components that the candidates
-    hold, however large a bucket is.
+    score: (lead, node) -> (lead, node, sim, linked, size, ...), for every spoke once; size is in bytes what a node brings
+    to a block, and further columns go to blocks. Spokes that aren't linked, neither to their lead nor through others, are then compared with all other nodes
+    of the star: blocks gets rows (lead, i, j, left, right, open, node, c, sim, ...), c the component so far, and
+    returns edges between the components of a left and a right node of the same (lead, i, j); two open nodes meet both ways round. Pairs whose sims differ by more than
+    reach need no comparison: where sim is a similarity whose complement is a metric, that is exact for
+    reach = 1 - threshold. Each pair of a star is decided however many nodes the star holds, by work that grows with the
+    spokes left open times the star; pairs that fail are never rows, and links between the same two components are one.
     """
-    checked = scratch.write(members.where(F.col("lead") != F.col("node")).select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct(), "pairs")
-    edges = [scratch.write(verify(checked), "edges")]
-    for turn in range(STARS + 1):
-        found = scratch.write(components(reduce(DataFrame.unionByName, edges), scratch), "found")
-        of = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-        several = of.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where((F.col("lo") != F.col("hi")) & (F.col("n") > 2))
-        rest = scratch.write(of.join(several.select("key", "n"), "key"), "rest")
-        large = rest.where(F.col("n") > BLOCK)
-        if turn == STARS or large.isEmpty():
-            break
-        lead = large.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "c")).alias("m")).select("key", F.col("m.node").alias("x"), F.col("m.c").alias("cx"))
-        new = large.join(lead, "key").where(F.col("c") != F.col("cx")).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
-        edges.append(scratch.write(verify(scratch.write(new, "pairs")), "edges"))
-    if rest.isEmpty():
-        return found
-    n = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = rest.select("key", "node", "c", F.pmod(F.xxhash64("node", "key"), n).cast("int").alias("h"), F.explode(F.sequence(F.lit(0), n - 1)).alias("t"))
-    with small_batches(rest.sparkSession, BLOCK_ROWS):
-        edges.append(scratch.write(blocks(dealt.select("key", F.least("h", "t").alias("i"), F.greatest("h", "t").alias("j"), (F.col("h") <= F.col("t")).alias("left"), (F.col("h") >= F.col("t")).alias("right"), "node", "c")), "edges"))
-    return scratch.write(components(reduce(DataFrame.unionByName, edges), scratch), "found")
+    decided = scratch.write(score(spokes), "decided")
+    found = scratch.write(components(decided.where("linked").select(F.col("lead").alias("a"), F.col("node").alias("b")), scratch), "found")
+    of = lambda n, c: found.select(F.col("node").alias(n), F.col("component").alias(c))
+    rest = decided.drop("linked").join(of("node", "c"), "node", "left").join(of("lead", "cl"), "lead", "left")
+    own = [x for x in decided.columns if x not in ("lead", "linked", "size")]
+    rest = scratch.write(rest.select("lead", "size", *own, F.coalesce("c", "node").alias("c"), F.coalesce("cl", "lead").alias("cl")), "rest")
+    open_ = F.col("c") != F.col("cl")
+    leads = rest.groupBy("lead").agg(F.max(F.when(open_, F.col("sim"))).alias("most"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    leads = leads.where(F.col("most").isNotNull() & (F.col("lo") != F.col("hi"))).select("lead", "most", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("n"))
+    left = rest.join(leads, "lead").where(F.col("sim") <= F.col("most") + F.lit(reach))
+    at = F.pmod(F.xxhash64("node", "lead"), F.col("n")).cast("int")
+    every = F.sequence(F.lit(0), F.col("n") - 1)
+    # an open node is left in its own row of blocks, and each node is right in its own column of them
+    cells = F.transform(every, lambda k: F.struct(at.alias("i"), k.alias("j"), F.lit(True).alias("left"), (k == at).alias("right")))
+    other = F.transform(every, lambda k: F.struct(k.alias("i"), at.alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right")))
+    dealt = left.select("lead", "c", *own, open_.alias("open"), F.explode(F.when(open_, F.concat(cells, F.filter(other, lambda x: x["i"] != at))).otherwise(other)).alias("x")).select("lead", "x.*", "open", "c", *own)
+    with small_batches(spokes.sparkSession, BLOCK_ROWS):
+        more = scratch.write(blocks(dealt).distinct(), "more")
+    merged = components(more, scratch).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    alone = merged.select(F.col("component").alias("node"), "component").join(found.select("node"), "node", "left_anti")
+    out = scratch.write(found.unionByName(alone).join(merged, "component", "left").select("node", F.coalesce("whole", "component").alias("component")), "classes")
+    scratch.drop(decided, found, rest, more)
+    return out

@@ -1,10 +1,12 @@
 """Line dedup (operator 6): fuzzy lines by MinHash, in DataFrame and SQL functions only.
 
 A line's set is its distinct character shingles (`WIDTH` code points at every position; a shorter line is one shingle),
-and lines whose exact Jaccard reaches the threshold are linked. Candidates come from a bottom-k MinHash of the whole set,
-so where in a line an edit lies makes no difference. Bands are runs of neighbouring sketch elements, so a pair of
-similarity 0.8 shares no band with probability 0.007. Pairs whose sketches agree are decided by the exact Jaccard, and
-distributed union-find keeps one line, the first by (doc_id, position), of each component.
+and lines whose exact Jaccard reaches the threshold are linked. Candidates come from one-permutation MinHash over every
+position of every line: shingle hashes fall into `BINS` bins, a bin's least hash is a register, and `ROWS` registers make
+a band. Only hashes under a bound that leaves about `DRAWN` of a line's positions are gathered (a register that is the
+least of some is the least of all), so a line's signature is one row of an aggregation, not an array of its shingles. A
+pair of similarity 0.8 shares no band with a probability of about 0.02. Candidates are decided by the exact Jaccard, and
+distributed union-find keeps one line, the first by (doc_id, text, position), of each component.
 
 Equal lines are one node from the start, found by a 64-bit hash; where two different lines have the same hash, which
 their crc32 tells, all of them stay.
@@ -16,118 +18,140 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, free_name, table
-from .graph import bucket_members, link_buckets
+from .graph import link_stars, stars
 
 WIDTH = 10
 THRESHOLD = 0.8
-#: Sketch elements; the first BANDED of them make bands of ROWS neighbours.
-SKETCH, BANDED, ROWS = 16, 8, 2
-#: Candidates whose sketches share a smaller part go (three and a half standard errors under the threshold).
-LEAST_AGREED = 0.45
+#: Registers of a signature, and those of one band.
+BINS, ROWS = 18, 3
+#: Positions whose hashes are gathered, about, of a line that has more.
+DRAWN = 4 * BINS
+#: A longer line with fewer filled registers repeats itself; all its positions are gathered.
+FEW = 12
 BREAK = "\n"
 #: Lines up to which ids are sent to every executor (8 bytes each); beyond it they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
-def shingles(line: Column, width: int = WIDTH, hashed=F.xxhash64) -> Column:
+def shingles(line: Column, width: int = WIDTH) -> Column:
     """Hashes of the distinct shingles."""
     every = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{width}}}))"), F.lit(1))
-    return F.array_distinct(F.when(F.char_length(line) <= width, F.array(hashed(line))).otherwise(F.transform(every, lambda s: hashed(s))))
-
-
-def sketch_of(line: Column, width: int = WIDTH) -> Column:
-    """The least hashes of a line's shingles, ascending."""
-    return F.slice(F.sort_array(F.array_distinct(shingles(line, width, F.hash))), 1, SKETCH)
-
-
-def bands(sketch: Column) -> Column:
-    """Keys of the runs of ROWS neighbours among the first elements; a smaller set has one key, of all its elements."""
-    some = F.slice(sketch, 1, BANDED)
-    runs = F.transform(F.sequence(F.lit(1), F.size(some) - (ROWS - 1)), lambda i: F.xxhash64(F.slice(some, i, ROWS)))
-    return F.when(F.size(some) < ROWS, F.array(F.xxhash64(some))).otherwise(runs)
+    return F.array_distinct(F.when(F.char_length(line) <= width, F.array(F.xxhash64(line))).otherwise(F.transform(every, lambda s: F.xxhash64(s))))
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, line: every line of every text; lines of white space alone are left out, they are never dropped."""
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", BREAK)).alias("pos", "line"))
+    """doc_id, th (hash of the text), pos, line: every line of every text; lines of white space alone are left out, they
+    are never dropped."""
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", BREAK)).alias("pos", "line"))
     return every.where(F.col("line").rlike(r"\S"))
 
 
-def _agreed(a: Column | str, b: Column | str) -> Column:
-    """The part of the union's least elements that both sketches hold."""
-    k = F.least(F.size(a), F.size(b))
-    return F.size(F.array_intersect(F.slice(F.sort_array(F.array_union(a, b)), F.lit(1), k), F.array_intersect(a, b))) / k
-
-
-def _decided(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose exact Jaccard reaches the threshold."""
-    text = lambda n: texts.select(F.col("node").alias(n), F.col("line").alias(f"l{n}"))
-    both = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", shingles(F.col("la")).alias("ha"), shingles(F.col("lb")).alias("hb"))
-    common = F.size(F.array_intersect("ha", "hb"))
-    return both.where(common >= F.lit(threshold) * (F.size("ha") + F.size("hb") - common)).select("a", "b")
+def signatures(each: DataFrame, drawn: int | None = DRAWN) -> DataFrame:
+    """node, n (positions), r0 ... of the lines of each. A signature comes from UTF-16 units, two bytes each, so a
+    shingle is cut out in constant time; drawn=None gathers every position."""
+    units = each.select(F.xxhash64("line").alias("node"), F.encode("line", "UTF-16BE").alias("b")).withColumn("n", F.greatest(F.floor(F.octet_length("b") / 2).cast("int") - (WIDTH - 1), F.lit(1)))
+    bound = F.lit((1 << 63) - 1) if drawn is None else F.when(F.col("n") <= drawn, F.lit((1 << 63) - 1)).otherwise((F.lit(-(2.0**63)) + F.lit(2.0**64 * drawn) / F.col("n")).cast("long"))
+    at = units.select("node", "n", "b", bound.alias("bound"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    h = at.select("node", "n", "i", "bound", F.expr(f"xxhash64(substring(b, 2 * i + 1, {2 * WIDTH}))").alias("h"))
+    # a line's first position is carried along, so that no line is without a row
+    some = h.where((F.col("h") <= F.col("bound")) | (F.col("i") == 0)).select("node", "n", "h", F.when(F.col("h") <= F.col("bound"), F.pmod("h", F.lit(BINS)).cast("int")).alias("bin"))
+    return some.groupBy("node").agg(F.max("n").alias("n"), *[F.min(F.when(F.col("bin") == k, F.col("h"))).alias(f"r{k}") for k in range(BINS)])
+
+
+def bands(signed: DataFrame) -> DataFrame:
+    """node, keys: one of each band with a filled register."""
+    band = lambda k: [F.col(f"r{i}") for i in range(k * ROWS, (k + 1) * ROWS)]
+    key = lambda k: F.when(F.coalesce(*band(k)).isNotNull(), F.xxhash64(F.lit(k), *[F.coalesce(r, F.lit(0)) for r in band(k)]))
+    return signed.select("node", F.filter(F.array(*[key(k) for k in range(BINS // ROWS)]), lambda k: k.isNotNull()).alias("keys"))
+
+
+def banded(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, keys of every distinct line."""
+    signed = scratch.write(signatures(lines(docs)), "signed")
+    filled = sum((F.col(f"r{k}").isNotNull().cast("int") for k in range(BINS)), F.lit(0))
+    again = (F.col("n") > DRAWN) & (filled < FEW)
+    few = scratch.write(signed.where(again).select("node"), "few")
+    keys = bands(signed.where(~again))
+    n = few.count()
+    if n:
+        own = lines(docs).where(F.char_length("line") > DRAWN).join(F.broadcast(few) if n <= BROADCAST_ROWS else few, F.xxhash64("line") == F.col("node"), "left_semi")
+        keys = keys.unionByName(bands(signatures(own, None)))
+    out = scratch.write(keys, "keys")
+    scratch.drop(signed, few)
+    return out
 
 
-def _similar(nodes: DataFrame, texts: DataFrame, threshold: float):
-    def verify(pairs: DataFrame) -> DataFrame:
-        sketch = lambda n: nodes.select(F.col("node").alias(n), F.col("sketch").alias(f"s{n}"))
-        near = pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(_agreed("sa", "sb") >= LEAST_AGREED).select("a", "b")
-        return _decided(near, texts, threshold)
+def _score(texts: DataFrame, threshold: float):
+    """The exact Jaccard of each spoke, and how its set differs from the lead's. A lead's set is made once, a node's once
+    a spoke."""
 
-    return verify
+    def score(spokes: DataFrame) -> DataFrame:
+        heads = texts.join(spokes.select(F.col("lead").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("lead"), shingles(F.col("line")).alias("hl"))
+        own = spokes.join(texts, "node").select("lead", "node", "line")
+        both = own.join(heads, "lead").select("lead", "node", "hl", shingles(F.col("line")).alias("hn"))
+        apart = both.select("lead", "node", F.size("hl").alias("whole"), F.array_except("hl", "hn").alias("less"), F.array_except("hn", "hl").alias("more"))
+        common, union = F.col("whole") - F.size("less"), F.col("whole") + F.size("more")
+        counted = apart.withColumns({"sim": common / union, "linked": common / union >= threshold, "size": 8 * (F.size("less") + F.size("more"))})
+        return counted.select("lead", "node", "sim", "linked", "size", "whole", "less", "more")
 
+    return score
 
-def _block_edges(nodes: DataFrame, texts: DataFrame, threshold: float):
-    """Decides the pairs of two blocks of a bucket within one row: sizes first, then sketches, then the whole sets. A pair
-    counts in the least band that its lines share, and links the two components that its lines lie in, so many links
-    between the same two are one row. The sets come as 32-bit hashes; two shingles of a pair fall together with a
-    probability of about 1e-5, and then shift the Jaccard by one element."""
 
-    def enough(common: Column, a: Column, b: Column) -> Column:
-        return common >= F.lit(threshold) * (F.size(a) + F.size(b) - common)
+def _blocks(threshold: float):
+    """Decides the pairs of two blocks of a star within one row. What x and y have in common is the lead's set without
+    what either lacks, and what both have beside it, so exact counts come from the differences alone."""
 
     def pair(x: Column, y: Column) -> Column:
-        other = (x["c"] != y["c"]) & ((x["node"] < y["node"]) | ~(x["right"] & y["left"]))
-        sizes = F.least(F.size(x["h"]), F.size(y["h"])) >= F.lit(threshold) * F.greatest(F.size(x["h"]), F.size(y["h"]))
-        here = F.array_min(F.array_intersect(x["keys"], y["keys"])) == x["key"]
-        return other & sizes & here & (_agreed(x["sketch"], y["sketch"]) >= LEAST_AGREED) & enough(F.size(F.array_intersect(x["h"], y["h"])), x["h"], y["h"])
+        other = (x["c"] != y["c"]) & ((x["node"] < y["node"]) | ~y["open"])
+        near = F.abs(x["sim"] - y["sim"]) <= F.lit(1 - threshold + 1e-9)
+        both = x["n"] + y["n"]
+        enough = F.lit(threshold / (1 + threshold) - 1e-9) * both
+        at_most = x["whole"] - F.greatest(x["nl"], y["nl"])
+        beside = F.size(F.array_intersect(x["more"], y["more"]))
+        common = x["whole"] - x["nl"] - y["nl"] + F.size(F.array_intersect(x["less"], y["less"])) + beside
+        return other & near & (at_most + F.least(x["nm"], y["nm"]) >= enough) & (at_most + beside >= enough) & (common / (both - common) >= threshold)
 
     def blocks(dealt: DataFrame) -> DataFrame:
-        need = dealt.select("node").distinct()
-        sets = texts.join(need, "node").join(nodes, "node").select("node", "sketch", F.array_distinct(bands(F.col("sketch"))).alias("keys"), shingles(F.col("line"), hashed=F.hash).alias("h"))
-        full = dealt.join(sets, "node").groupBy("key", "i", "j").agg(F.collect_list(F.struct("left", "right", "node", "c", "key", "sketch", "keys", "h")).alias("m"))
+        sizes = [F.size("less").alias("nl"), F.size("more").alias("nm"), (F.col("whole") - F.size("less") + F.size("more")).alias("n")]
+        full = dealt.select("lead", "i", "j", F.struct("left", "right", "open", "node", "c", "sim", "whole", "less", "more", *sizes).alias("x"))
+        cell = full.groupBy("lead", "i", "j").agg(F.collect_list(F.when(F.col("x.left"), F.col("x"))).alias("l"), F.collect_list(F.when(F.col("x.right"), F.col("x"))).alias("r"))
         edge = lambda x, y: F.struct(F.least(x["c"], y["c"]).alias("a"), F.greatest(x["c"], y["c"]).alias("b"))
-        found = F.transform(F.filter("m", lambda x: x["left"]), lambda x: F.array_distinct(F.transform(F.filter("m", lambda y: y["right"] & pair(x, y)), lambda y: edge(x, y))))
-        return full.select(F.explode(F.array_distinct(F.flatten(found))).alias("e")).select("e.a", "e.b").distinct()
+        found = F.transform("l", lambda x: F.array_distinct(F.transform(F.filter("r", lambda y: pair(x, y)), lambda y: edge(x, y))))
+        return cell.select(F.explode(F.array_distinct(F.flatten(found))).alias("e")).select("e.a", "e.b")
 
     return blocks
 
 
 def drop_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, dropped (positions of the lines that go, ascending): a row for each document that loses a line.
+    """doc_id, th (xxhash64 of the text), dropped (positions of the lines that go, ascending): a row for each text that
+    loses a line.
 
     Null and empty texts have no line that could go; lines of white space stay. A class's first line by
-    (doc_id, position) stays, a null doc_id coming first; of rows with the same doc_id and the same line at the same
-    position all count as that first line. An empty table gives no row. Other columns of docs are not read.
+    (doc_id, th, position) stays, a null doc_id coming first. Rows with the same doc_id and different texts are told
+    apart; of rows that repeat doc_id and text all count as the first. An empty table gives no row. Other columns of
+    docs are not read.
     """
     scratch = Scratch(docs.sparkSession)
-    met = lines(docs).select("doc_id", "pos", F.xxhash64("line").alias("node"), F.crc32(F.col("line").cast("binary")).alias("crc"), sketch_of(F.col("line")).alias("sketch"))
+    met = lines(docs).select("doc_id", "th", "pos", F.xxhash64("line").alias("node"), F.crc32(F.col("line").cast("binary")).alias("crc"))
     met = scratch.write(met, "met")
-    nodes = met.groupBy("node").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.min("sketch").alias("sketch"), F.count("*").alias("n"), F.min("crc").alias("c1"), F.max("crc").alias("c2"))
-    nodes = scratch.write(nodes.where(F.col("c1") == F.col("c2")).drop("c1", "c2"), "nodes")
-    keys = nodes.select("node", F.explode(F.array_distinct(bands(F.col("sketch")))).alias("key"))
-    members = bucket_members(keys, scratch)
-    who = scratch.write(members.select("node").distinct(), "who")
+    keys = banded(docs, scratch)
+    spokes = stars(keys.select("node", F.explode("keys").alias("key")), scratch)
+    who = scratch.write(spokes.select("node").unionByName(spokes.select(F.col("lead").alias("node"))).distinct(), "who")
     small = who.count() <= BROADCAST_ROWS
     own = lines(docs).select(F.xxhash64("line").alias("node"), "line").join(F.broadcast(who) if small else who, "node", "left_semi")
     texts = scratch.write(own.groupBy("node").agg(F.min("line").alias("line")), "texts")
-    some = scratch.write(nodes.join(F.broadcast(who) if small else who, "node", "left_semi").select("node", "sketch"), "some")
-    found = link_buckets(members, _similar(some, texts, threshold), _block_edges(some, texts, threshold), scratch)
-    scratch.only(met, nodes, found)
-    every = nodes.join(found, "node", "left").select("node", "at", "n", F.coalesce("component", "node").alias("c"))
-    first = every.groupBy("c").agg(F.min("at").alias("first"), F.sum("n").alias("n")).where(F.col("n") > 1)
-    classes = scratch.write(every.join(first.drop("n"), "c").select("node", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos")), "classes")
-    gone = met.select("doc_id", "pos", "node").join(classes, "node").where(~(F.expr("doc_id <=> first_doc") & (F.col("pos") == F.col("first_pos"))))
-    out = scratch.write(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("dropped")), "gone")
+    scratch.drop(keys, who)
+    found = link_stars(spokes, _score(texts, threshold), _blocks(threshold), scratch, 1 - threshold + 1e-9)
+    scratch.only(met, found)
+    place = F.struct("doc_id", "th", "pos")
+    nodes = met.groupBy("node").agg(F.min(place).alias("at"), F.max(place).alias("last"), F.min("crc").alias("c1"), F.max("crc").alias("c2"))
+    every = nodes.where(F.col("c1") == F.col("c2")).join(found, "node", "left").select("node", "at", "last", F.coalesce("component", "node").alias("c"))
+    every = scratch.write(every, "every")
+    first = every.groupBy("c").agg(F.min("at").alias("first"), F.max("last").alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("c", "first")
+    classes = scratch.write(every.join(first, "c").select("node", F.col("first.doc_id").alias("first_doc"), F.col("first.th").alias("first_th"), F.col("first.pos").alias("first_pos")), "classes")
+    here = F.expr("doc_id <=> first_doc") & (F.col("th") == F.col("first_th")) & (F.col("pos") == F.col("first_pos"))
+    gone = met.select("doc_id", "th", "pos", "node").join(classes, "node").where(~here)
+    out = scratch.write(gone.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("pos")).alias("dropped")), "gone")
     scratch.only(out)
     return out
 
@@ -135,10 +159,10 @@ def drop_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def _with_dropped(docs: DataFrame, threshold: float) -> tuple[DataFrame, str]:
     """docs with a column of each one's dropped positions, and its name. The positions go to every executor while they
     are few, else texts are dealt out."""
-    name, key = free_name(docs.columns, "__dropped"), free_name(docs.columns, "__id")
-    gone = drop_lines(docs, threshold).select(F.col("doc_id").alias(key), F.col("dropped").alias(name))
-    n = gone.agg(F.sum(F.size(name) + 4)).first()[0] or 0
-    return docs.join(F.broadcast(gone) if n <= 4 * BROADCAST_ROWS else gone, F.expr(f"CAST(doc_id AS LONG) <=> {key}"), "left").drop(key), name
+    name, key, th = free_name(docs.columns, "__dropped"), free_name(docs.columns, "__id"), free_name(docs.columns, "__th")
+    gone = drop_lines(docs, threshold).select(F.col("doc_id").alias(key), F.col("th").alias(th), F.col("dropped").alias(name))
+    n = gone.agg(F.sum(F.size(name) + 6)).first()[0] or 0
+    return docs.join(F.broadcast(gone) if n <= 4 * BROADCAST_ROWS else gone, F.expr(f"CAST(doc_id AS LONG) <=> {key}") & (F.xxhash64(docs["text"]) == F.col(th)), "left").drop(key, th), name
 
 
 def _left(text: Column, dropped: str) -> Column:

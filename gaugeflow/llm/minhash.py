@@ -9,8 +9,8 @@ signature of its distinct ones, with bands of its own: a passage that one copy r
 the plain Jaccard as it is. Of a text without repeats both signatures are the same, so it meets either kind.
 
 Texts with the same shingles and counts are one node from the start, so exact copies cost one row each and no pair.
-A bucket's nodes are first compared with the node that shares most buckets. What a bucket then still holds of several
-components is compared block by block, so no link between components is lost to a bucket's size.
+The nodes of a bucket are first compared with the one among them that shares most buckets. Those that this leaves apart
+are compared with the rest block by block, so no link between components is lost to a bucket's size.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, bound_batches, free_name, mix64, pieces, settle, table, utf8
-from .graph import bucket_members, link_buckets
+from .graph import link_stars, stars
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -249,70 +249,83 @@ def _texts(docs: DataFrame, reps: DataFrame, small: bool) -> DataFrame:
     return j.mapInArrow(same, "node binary, text string").dropDuplicates(["node"])
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """pairs (a, b) whose texts are as similar as the threshold; nodes: node, sig, text."""
+def _score(nodes: DataFrame, threshold: float):
+    """Decides each spoke: signatures first, then the whole sets. nodes: node, sig, text."""
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
         for b in batches:
-            s, t = (unpacked(b.column(c).to_pylist()) for c in ("sa", "sb"))
-            yield b.select(["a", "b"]).filter(pa.array(agreement(s, t) >= LEAST_AGREED)) if b.num_rows else b.select(["a", "b"])
+            s, t = (unpacked(b.column(c).to_pylist()) for c in ("sl", "sn"))
+            near = agreement(s, t) >= LEAST_AGREED if b.num_rows else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([b.column("lead"), b.column("node"), pa.array(near), b.column("size")], ["lead", "node", "near", "size"])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
         for b in batches:
-            keep = [similar(x, y, threshold) for x, y in zip(_sets(b.column("ta")), _sets(b.column("tb")))]
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    side = lambda df, a, **cols: df.join(nodes.select(F.col("node").alias(a), *(F.col(c).alias(n) for n, c in cols.items())), a)
-    near = side(side(pairs, "a", sa="sig"), "b", sb="sig").select("a", "b", "sa", "sb").mapInArrow(agree, "a binary, b binary")
-    return side(side(near, "a", ta="text"), "b", tb="text").select("a", "b", "ta", "tb").mapInArrow(exact, "a binary, b binary")
-
-
-def _block_edges(nodes: DataFrame, threshold: float):
-    """Decides the pairs of two blocks of a bucket within one row, so that pairs that fail are never rows. A pair counts
-    in the first band that its texts share, one of counted shingles before one of distinct ones."""
+            yield b.select(["lead", "node"]).append_column("linked", pa.array([similar(x, y, threshold) for x, y in zip(_sets(b.column("tl")), _sets(b.column("tn")))], pa.bool_()))
+
+    side = lambda df, a, **cols: df.join(nodes.select(F.col("node").alias(a), *(F.col(c).alias(n) if isinstance(c, str) else c.alias(n) for n, c in cols.items())), a)
+
+    def score(spokes: DataFrame, scratch: Scratch) -> DataFrame:
+        met = side(side(spokes, "node", sn="sig", size=F.octet_length("text")), "lead", sl="sig").select("lead", "node", "sl", "sn", "size")
+        met = scratch.write(met.mapInArrow(agree, "lead binary, node binary, near boolean, size int"), "met")
+        linked = side(side(met.where("near").select("lead", "node"), "node", tn="text"), "lead", tl="text").select("lead", "node", "tl", "tn").mapInArrow(exact, "lead binary, node binary, linked boolean").where("linked")
+        return met.join(linked, ["lead", "node"], "left").select("lead", "node", F.lit(0.0).alias("sim"), F.coalesce("linked", F.lit(False)).alias("linked"), "size")
+
+    return score
+
+
+def _blocks(nodes: DataFrame, threshold: float):
+    """Decides the pairs of two blocks of a star within one row, so that pairs that fail are never rows: common shingles
+    of one node with all others are counted at once. Links that connect nothing new are left out."""
+
+    def links(flat: pa.StructArray) -> Iterator[tuple[bytes, bytes]]:
+        names, c = np.unique(np.array(flat.field("c").to_pylist(), object), return_inverse=True)
+        node = np.unique(np.array(flat.field("node").to_pylist(), object), return_inverse=True)[1]
+        left, right = (np.nonzero(flat.field(k).to_numpy(zero_copy_only=False))[0] for k in ("left", "right"))
+        open_ = flat.field("open").to_numpy(zero_copy_only=False)
+        sig, plain = unpacked(flat.field("sig").to_pylist())
+        sets = _sets(flat.field("text"))
+        size = np.array([len(h) for h, _ in sets])
+        again = np.array([n.max() > 1 for _, n in sets])
+        ids, at = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True)
+        from_ = np.concatenate([[0], np.cumsum(size)])
+        other = np.concatenate([at[from_[k] : from_[k + 1]] for k in right]) if len(right) else at[:0]
+        starts = np.concatenate([[0], np.cumsum(size[right])])[:-1]
+        mark = np.zeros(len(ids), np.int64)
+        root = np.arange(len(names))
+
+        def top(k: int) -> int:
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = int(root[k])
+            return k
+
+        for i in left.tolist():
+            own = at[from_[i] : from_[i + 1]]
+            mark[own] = 1
+            common = np.add.reduceat(mark[other], starts)
+            mark[own] = 0
+            fresh = (c[right] != c[i]) & ((node[i] < node[right]) | ~open_[right])
+            linked = fresh & (common >= threshold * (size[i] + size[right] - common) - 1e-9)
+            # without repeated shingles both measures are one
+            for k in np.nonzero(fresh & ~linked & (common > 0) & (again[i] | again[right]) & ((sig[right] == sig[i]).mean(1) >= LEAST_AGREED))[0].tolist():
+                linked[k] = top(int(c[i])) != top(int(c[right[k]])) and similarity(sets[i], sets[right[k]])[0] >= threshold - 1e-12
+            for k in np.unique(c[right[linked]]).tolist():
+                a, b = top(int(c[i])), top(k)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    yield names[a], names[b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
         for b in batches:
-            out: list[tuple[bytes, bytes]] = []
-            for key, m in zip(b.column("key").to_pylist(), b.column("m")):
-                flat = m.values
-                node = flat.field("node").to_pylist()
-                c = np.unique(flat.field("c").to_pylist(), return_inverse=True)[1]
-                left, right = (np.nonzero(flat.field(k).to_numpy(zero_copy_only=False))[0] for k in ("left", "right"))
-                sig, plain = unpacked(flat.field("sig").to_pylist())
-                band = np.concatenate([bands(sig), bands(plain)], 1)
-                kinds = band.shape[1] // 2
-                x, y = (v.ravel() for v in np.meshgrid(left, right, indexing="ij"))
-                # in a block against itself each pair comes once
-                ok = (c[x] != c[y]) & ((x < y) | ~(np.isin(x, right) & np.isin(y, left)))
-                x, y = x[ok], y[ok]
-                first = np.full(len(x), -1)
-                for k in range(band.shape[1] - 1, -1, -1):
-                    # a key that both hold, be it of the same kind in both or not
-                    first[(band[x, k] == band[y, k]) | (band[x, k] == band[y, (k + kinds) % band.shape[1]])] = k
-                ok = band[x, first] == key
-                x, y = x[ok], y[ok]
-                if not len(x):
-                    continue
-                agreed = np.zeros((2, len(x)))
-                for kind, regs in enumerate((sig, plain)):
-                    for k in range(REGISTERS):
-                        agreed[kind] += regs[x, k] == regs[y, k]
-                ok = agreed.max(0) >= LEAST_AGREED * REGISTERS
-                x, y = x[ok], y[ok]
-                need = np.unique(np.concatenate([x, y]))
-                sets = dict(zip(need.tolist(), _sets(flat.field("text").take(pa.array(need)))))
-                for i, j in zip(x.tolist(), y.tolist()):
-                    if similar(sets[i], sets[j], threshold):
-                        out.append((min(node[i], node[j]), max(node[i], node[j])))
+            out = [e for m in b.column("m") for e in links(m.values)]
             yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.binary()), pa.array([e[1] for e in out], pa.binary())], ["a", "b"])
 
     def blocks(dealt: DataFrame) -> DataFrame:
-        full = dealt.join(nodes, "node").groupBy("key", "i", "j").agg(F.collect_list(F.struct("left", "right", "node", "c", "sig", "text")).alias("m"))
-        return full.select("key", "m").mapInArrow(run, "a binary, b binary")
+        full = dealt.join(nodes, "node").groupBy("lead", "i", "j").agg(F.collect_list(F.struct("left", "right", "open", "node", "c", "sig", "text")).alias("m"))
+        return full.select("m").mapInArrow(run, "a binary, b binary")
 
     return blocks
 
@@ -327,16 +340,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
     scratch = Scratch(docs.sparkSession)
     signed = scratch.write(sign(docs), "signed")
     some = signed.where(F.col("node").isNotNull())
-    banded = some.select("node", F.explode("bands").alias("key"))
-    members = bucket_members(banded.distinct(), scratch)
-    who = members.select("node").distinct()
+    spokes = stars(some.select("node", F.explode("bands").alias("key")).distinct(), scratch)
+    who = scratch.write(spokes.select("node").unionByName(spokes.select(F.col("lead").alias("node"))).distinct(), "who")
     n = who.count()
     small = n <= BROADCAST_ROWS
     found = None
     if n:
         reps = scratch.write(some.join(F.broadcast(who) if small else who, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("sig").alias("sig")), "reps")
         nodes = scratch.write(_texts(docs, reps, small).join(reps.select("node", "sig"), "node"), "nodes")
-        found = link_buckets(members, lambda pairs: _verify(pairs, nodes, threshold), _block_edges(nodes, threshold), scratch)
+        scratch.drop(who, reps)
+        score = _score(nodes, threshold)
+        found = link_stars(spokes, lambda s: score(s, scratch), _blocks(nodes, threshold), scratch)
+        scratch.drop(nodes, spokes)
     rows = signed.select("doc_id", "node")
     if found is None:
         found = rows.select("node", F.col("node").alias("component")).limit(0)
