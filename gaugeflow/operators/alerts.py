@@ -130,6 +130,59 @@ def anomaly_messages(fired: DataFrame) -> DataFrame:
     return fired.select(alert_id("anomaly").alias("id"), F.lit("anomaly").alias("rule"), "severity", F.lit("firing").alias("state"), *SERIES, "timestamp", text.alias("message"), F.col("actual").alias("value"))
 
 
+MESSAGE = ["id", "rule", "severity", "state", "station", "sensor", "timestamp", "message", "value"]
+
+
+def _messages(rows: DataFrame, rule: str, value: str | None, severity: Column, text: Column, id_: Column | None = None) -> DataFrame:
+    """Alert rows; a rule about stations has no sensor, a derived one no value."""
+    sensor = F.col("sensor") if "sensor" in rows.columns else F.lit(None)
+    state = F.col("state") if rows.schema["state"].dataType.typeName() == "string" else F.lit("firing")
+    made = {"id": id_ if id_ is not None else alert_id(rule), "rule": F.lit(rule), "severity": severity, "state": state, "station": F.col("station"), "sensor": sensor.cast("int"), "timestamp": F.col("timestamp"), "message": text, "value": (F.col(value) if value else F.lit(None)).cast("double")}
+    return rows.select(*[c.alias(n) for n, c in made.items()])
+
+
+def _turned(rows: DataFrame, rule: str, value: str, severity: str, fired: Column, recovered: Column) -> DataFrame:
+    """Messages of a rule that fires and resolves; a resolution is information."""
+    firing = F.col("state") == "firing"
+    return _messages(rows, rule, value, F.when(firing, severity).otherwise("info"), F.when(firing, fired).otherwise(recovered))
+
+
+def calibration_messages(turned: DataFrame, floor: float = COVERAGE_FLOOR) -> DataFrame:
+    """turned: the rows of calibration()."""
+    share = F.format_string("%.1f%%", F.col("coverage") * 100)
+    return _turned(turned, "calibration", "coverage", "serious", F.concat(F.lit("Interval coverage "), share, F.lit(f" below {floor:.0%}")), F.concat(F.lit("Interval coverage recovered to "), share))
+
+
+def degraded_messages(turned: DataFrame) -> DataFrame:
+    """turned: the rows of degraded()."""
+    mase = F.format_string("%.2f", "mase")
+    return _turned(turned, "model_degraded", "mase", "warning", F.concat(F.lit("MASE "), mase, F.lit(": forecasts worse than naive persistence")), F.concat(F.lit("MASE recovered to "), mase))
+
+
+def accuracy_messages(turned: DataFrame, floor: float = ACCURACY_FLOOR, sustain_ms: int = SUSTAIN_MS) -> DataFrame:
+    """turned: the rows of low_accuracy()."""
+    share = F.format_string("%.0f%%", F.col("accuracy") * 100)
+    return _turned(turned, "regime_accuracy", "accuracy", "warning", F.concat(F.lit("Regime detection accuracy "), share, F.lit(f" below {floor:.0%} for {sustain_ms / 1000:.0f} s")), F.concat(F.lit("Regime detection accuracy recovered to "), share))
+
+
+def regime_messages(changes: DataFrame) -> DataFrame:
+    """changes: the rows of regime_changes(); state is the new regime."""
+    return _messages(changes, "regime_change", "state", F.lit("info"), F.format_string("Regime change detected: R%d → R%d", F.col("previous").cast("int"), F.col("state").cast("int")))
+
+
+def stale_messages(found: DataFrame, now_ms: int) -> DataFrame:
+    """found: the rows of stale()."""
+    rows = found.withColumn("timestamp", F.col("last_received")).withColumn("state", F.lit("firing"))
+    text = F.format_string("No new window for %.0f s", (F.lit(now_ms) - F.col("last_received")) / 1000)
+    return _messages(rows, "stale", None, F.lit("critical"), text, F.concat_ws(":", F.lit("stale"), "station", F.col("sensor").cast("string")))
+
+
+def latency_messages(found: DataFrame, above: float = LATENCY_ALERT_MS, last: int = LATENCY_BUCKETS) -> DataFrame:
+    """found: the rows of latency_sustained()."""
+    text = F.concat(F.lit(f"Pipeline latency above {above:.0f} ms for {last} s (peak "), F.format_string("%.0f", "peak"), F.lit(" ms)"))
+    return _messages(found.withColumn("state", F.lit("firing")), "latency", None, F.lit("warning"), text, F.concat_ws(":", F.lit("latency"), "station"))
+
+
 def feed(alerts: DataFrame, stations: list[str], keys: list[tuple[str, int]], n: int = 25, order: str = "seq") -> DataFrame:
     """The newest alerts of a selection; an alert without a sensor belongs to its station."""
     return in_scope(alerts, stations, keys).orderBy(F.desc(order)).limit(n)

@@ -355,6 +355,31 @@ def accuracy_sustained(s, d):
     return alerts.low_accuracy(rows, 0.80, 0.81, 4 * HOUR, 100).select("station", "seq", "timestamp", "state", F.round("accuracy", 6).alias("accuracy"))
 
 
+@query
+def stateful_messages(s, d):
+    """Messages of the rules that fire and resolve, texts included, of every series and station."""
+    m = fx.measured(s, d).where("horizon = 1")
+    low = alerts.low_accuracy(regime.confusion(fx.states(s, d), "seq", 200), 0.80, 0.81, 4 * HOUR, 100)
+    every = [alerts.calibration_messages(alerts.calibration(m, 0.975, 0.985), 0.975), alerts.degraded_messages(alerts.degraded(m, 0.74, 0.735)), alerts.accuracy_messages(low, 0.80, 4 * HOUR)]
+    out = every[0].unionByName(every[1]).unionByName(every[2])
+    return out.withColumn("value", F.round("value", 4))
+
+
+@query
+def regime_change_messages(s, d):
+    rows = fx.raw(s, d).select("station", "timestamp", F.col("event_id").alias("seq"), F.col("regime").alias("state"))
+    return alerts.regime_messages(alerts.regime_changes(rows, 4))
+
+
+@query
+def derived_messages(s, d):
+    """Messages that follow from arrivals alone: silent series, and a sustained latency."""
+    a = fx.arrivals(s, d)
+    old = alerts.stale_messages(alerts.stale(a.where(F.col("received") < NOW - F.length("station") * F.col("window_ms")), NOW), NOW)
+    late = a.withColumn("received", F.col("received") + 150)
+    return old.unionByName(alerts.latency_messages(alerts.latency_sustained(views.latency_buckets(late), late)))
+
+
 @query
 def active_alerts(s, d):
     return alerts.active(fx.alert_log(s, d).where(F.col("timestamp") <= NOW), NOW, ttl_ms=6 * HOUR)
@@ -553,7 +578,7 @@ def state_lookup(s, d):
     """The model in force at each row, fitted every 600 rows from row 1201."""
     rows = regime.numbered(fx.raw(s, d), ["event_id"])
     fits = rows.where((F.col("r") >= 1201) & ((F.col("r") - 1201) % 600 == 0)).select("station", F.col("r").alias("fitted_at"))
-    return regime.latest_fit(rows.where(F.col("r") % 10 == 0), fits)
+    return regime.latest_fit(rows, fits)
 
 
 # ---- models without a SQL twin

@@ -82,7 +82,7 @@ def flips(src: str, key: str, order: str, fire: str, recover: str) -> str:
      flips AS (SELECT * FROM (SELECT *, lag(s, 1, 0) OVER (PARTITION BY {key} ORDER BY {order}) AS p FROM held) WHERE s <> p)"""
 
 
-LOG = f"""{RAW}, picked AS (SELECT *, ['anomaly','calibration','model_degraded','regime_change','regime_accuracy'][event_id // 7 % 5 + 1] AS rule FROM raw WHERE event_id % 7 = 0),
+LOG = f"""{RAW}, picked AS (SELECT *, ['anomaly','calibration','model_degraded','regime_change','regime_accuracy'][event_id // 7 % 5 + 1] AS rule FROM raw),
  log AS (SELECT event_id AS seq, station, CAST(CASE WHEN rule IN ('regime_change','regime_accuracy') THEN NULL ELSE event_id % 2 END AS INTEGER) AS sensor, timestamp, rule,
    CASE WHEN rule IN ('calibration','model_degraded','regime_accuracy') AND event_id % 3 = 0 THEN 'resolved' ELSE 'firing' END AS state,
    CASE WHEN rule IN ('calibration','model_degraded','regime_accuracy') AND event_id % 3 = 0 THEN 'info' WHEN rule = 'calibration' THEN 'serious' ELSE 'warning' END AS severity FROM picked),
@@ -192,6 +192,33 @@ ORACLE_SQL = {
       since AS (SELECT *, min(CASE WHEN accuracy < 0.80 THEN timestamp END) OVER (PARTITION BY station, i ORDER BY seq ROWS UNBOUNDED PRECEDING) AS since FROM isl),
       {flips('since', 'station', 'seq', f'accuracy < 0.80 AND timestamp - since >= {4 * HOUR}', 'accuracy >= 0.81')}
       SELECT station, seq, timestamp, CASE WHEN s = 1 THEN 'firing' ELSE 'resolved' END AS state, round(accuracy, 6) AS accuracy FROM flips""",
+    "stateful_messages": f"""WITH {MS}, one1 AS (SELECT * FROM measured WHERE horizon = 1), {flips('one1', STAR, 'timestamp', 'n >= 100 AND coverage < 0.975', 'n >= 100 AND coverage >= 0.985')},
+      {flips('one1', STAR, 'timestamp', 'n >= 100 AND mase > 0.74', 'n >= 100 AND mase <= 0.735').replace('held', 'held2').replace('flips', 'flips2')},
+      {confusion(200).replace(RAW + ', ', '')}, ok AS (SELECT *, matched / n_scored AS accuracy FROM acc WHERE n_scored >= 100),
+      isl AS (SELECT *, sum(CASE WHEN accuracy < 0.80 THEN 0 ELSE 1 END) OVER (PARTITION BY station ORDER BY seq ROWS UNBOUNDED PRECEDING) AS i FROM ok),
+      since AS (SELECT *, min(CASE WHEN accuracy < 0.80 THEN timestamp END) OVER (PARTITION BY station, i ORDER BY seq ROWS UNBOUNDED PRECEDING) AS since FROM isl),
+      {flips('since', 'station', 'seq', f'accuracy < 0.80 AND timestamp - since >= {4 * HOUR}', 'accuracy >= 0.81').replace('held', 'held3').replace('flips', 'flips3')},
+      told AS (SELECT 'calibration' AS rule, station, CAST(sensor AS INTEGER) AS sensor, CAST(sensor AS VARCHAR) AS part, timestamp, s, coverage AS value, 'serious' AS level,
+          'Interval coverage ' || printf('%.1f', coverage * 100) || '% below 98%' AS fired, 'Interval coverage recovered to ' || printf('%.1f', coverage * 100) || '%' AS ok FROM flips
+        UNION ALL SELECT 'model_degraded', station, CAST(sensor AS INTEGER), CAST(sensor AS VARCHAR), timestamp, s, mase, 'warning', 'MASE ' || printf('%.2f', mase) || ': forecasts worse than naive persistence', 'MASE recovered to ' || printf('%.2f', mase) FROM flips2
+        UNION ALL SELECT 'regime_accuracy', station, NULL, '-1', timestamp, s, accuracy, 'warning', 'Regime detection accuracy ' || printf('%.0f', accuracy * 100) || '% below 80% for 14400 s', 'Regime detection accuracy recovered to ' || printf('%.0f', accuracy * 100) || '%' FROM flips3)
+      SELECT rule || ':' || station || ':' || part || ':' || timestamp AS id, rule, CASE WHEN s = 1 THEN level ELSE 'info' END AS severity, CASE WHEN s = 1 THEN 'firing' ELSE 'resolved' END AS state,
+        station, sensor, timestamp, CASE WHEN s = 1 THEN fired ELSE ok END AS message, round(value, 4) AS value FROM told""",
+    "regime_change_messages": f"""WITH {RAW}, ch AS (SELECT station, event_id AS seq, timestamp, regime AS state, CASE WHEN regime = lag(regime) OVER w THEN 0 ELSE 1 END AS c FROM raw WINDOW w AS (PARTITION BY station ORDER BY event_id)),
+      isl AS (SELECT *, sum(c) OVER (PARTITION BY station ORDER BY seq ROWS UNBOUNDED PRECEDING) AS i FROM ch),
+      held AS (SELECT *, row_number() OVER (PARTITION BY station, i ORDER BY seq) AS r FROM isl),
+      conf AS (SELECT *, lag(state) OVER (PARTITION BY station ORDER BY seq) AS previous FROM held WHERE r = 4)
+      SELECT 'regime_change:' || station || ':' || timestamp AS id, 'regime_change' AS rule, 'info' AS severity, 'firing' AS state, station, CAST(NULL AS INTEGER) AS sensor, timestamp,
+        'Regime change detected: R' || previous || ' → R' || state AS message, CAST(state AS DOUBLE) AS value FROM conf WHERE previous <> state""",
+    "derived_messages": f"""WITH {ARR}, r AS (SELECT station, sensor, max(received) AS last_received FROM arrivals WHERE received < {NOW} - length(station) * window_ms GROUP BY ALL),
+      late AS (SELECT station, timestamp, window_ms, received + 150 AS received FROM arrivals),
+      lat AS (SELECT received // 1000 * 1000 AS second, median(CAST(received - timestamp - window_ms AS DOUBLE)) AS latency FROM late GROUP BY 1),
+      buckets AS (SELECT * FROM lat WHERE second < (SELECT max(second) FROM lat)),
+      recent AS (SELECT * FROM buckets ORDER BY second DESC LIMIT 30), g AS (SELECT count(*) AS n, min(latency) AS lo, max(latency) AS peak, max(second) AS timestamp FROM recent)
+      SELECT 'stale:' || station || ':' || sensor AS id, 'stale' AS rule, 'critical' AS severity, 'firing' AS state, station, CAST(sensor AS INTEGER) AS sensor, last_received AS timestamp,
+        'No new window for ' || printf('%.0f', ({NOW} - last_received) / 1000.0) || ' s' AS message, CAST(NULL AS DOUBLE) AS value FROM r WHERE {NOW} - last_received > {6 * HOUR}
+      UNION ALL SELECT DISTINCT 'latency:' || station, 'latency', 'warning', 'firing', station, CAST(NULL AS INTEGER), g.timestamp,
+        'Pipeline latency above 100 ms for 30 s (peak ' || printf('%.0f', peak) || ' ms)', CAST(NULL AS DOUBLE) FROM stats, g WHERE n = 30 AND lo > 100""",
     "active_alerts": f"WITH {LOG} SELECT * FROM active",
     "alert_feed": f"""WITH {LOG} SELECT * FROM log WHERE station IN ('click', 'view', 'purchase') AND (sensor IS NULL OR (station = 'click' AND sensor = 0) OR (station = 'view' AND sensor = 1))
       ORDER BY seq DESC LIMIT 25""",
@@ -247,5 +274,5 @@ ORACLE_SQL = {
       FROM stats s LEFT JOIN pred p ON p.station = s.station AND p.sensor = s.sensor AND p.timestamp = s.timestamp AND p.horizon = 1 WHERE s.station = 'click' AND s.sensor = 0""",
     "moving_average": f"WITH {RAW} SELECT event_id, round(sum(v0) OVER (PARTITION BY station ORDER BY event_id ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) / 25.0, 6) AS ma FROM raw",
     "state_lookup": f"""WITH {RAW}, n AS (SELECT station, row_number() OVER (PARTITION BY station ORDER BY event_id) AS r FROM raw)
-      SELECT station, r, CASE WHEN r > 1201 THEN 1201 + (r - 1202) // 600 * 600 END AS fitted_at FROM n WHERE r % 10 = 0""",
+      SELECT station, r, CASE WHEN r > 1201 THEN 1201 + (r - 1202) // 600 * 600 END AS fitted_at FROM n""",
 }
