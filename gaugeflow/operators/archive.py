@@ -6,7 +6,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+DAY_MS = 86_400_000
+#: Days that a batch's partitions are named by, one by one; a batch of more is compared with the span from first to last.
+MAX_DAYS = 1000
 KEY = ["station", "sensor", "timestamp"]
 DEFAULT_LIMIT, MAX_LIMIT = 1000, 10_000
 
@@ -82,22 +86,34 @@ class Archive:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    def _days(self, schema) -> DataFrame:
+        """The table with its day; an empty one where nothing has been written. Any other trouble is an error."""
+        sc = self.spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not path.getFileSystem(sc._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], schema).withColumn("day", F.lit(0).cast("long"))
+        return self.spark.read.schema(T.StructType([*schema.fields, T.StructField("day", T.LongType())])).parquet(self.path)
+
     def read(self, schema) -> DataFrame:
-        from pyspark.errors import AnalysisException
+        return self._days(schema).drop("day")
 
-        try:
-            return self.spark.read.parquet(self.path).drop("day")
-        except AnalysisException:
-            return self.spark.createDataFrame([], schema)
+    def query(self, schema, q: StatsQuery) -> DataFrame:
+        """stats_query over the partitions of the days that the query spans."""
+        rows = self._days(schema)
+        for bound, low in ((q.start_ts, True), (q.end_ts, False)):
+            if bound is not None:
+                rows = rows.where(F.col("day") >= bound // DAY_MS if low else F.col("day") <= bound // DAY_MS)
+        return stats_query(rows.drop("day"), q)
 
     def upsert(self, batch: DataFrame, order: list[str]) -> int:
         """Writes what is new; rows written. Writing a batch again writes nothing, so a retried batch is safe. Only the
-        days that the batch touches are read for the comparison."""
-        day = F.floor(F.col("timestamp") / 86_400_000)
-        span = batch.agg(F.min("timestamp"), F.max("timestamp")).first()
-        if span[0] is None:
+        days that the batch holds are read for the comparison, so one late row costs its own day and none between."""
+        day = F.floor(F.col("timestamp") / DAY_MS)
+        held = [r["day"] for r in batch.select(day.alias("day")).where("day IS NOT NULL").distinct().limit(MAX_DAYS + 1).collect()]
+        if not held:
             return 0
-        known = self.read(batch.schema).where(F.col("timestamp").between(span[0], span[1]))
+        inside = F.col("day").isin(held) if len(held) <= MAX_DAYS else F.col("day").between(*batch.agg(F.min(day), F.max(day)).first())
+        known = self._days(batch.schema).where(inside).drop("day")
         new = new_rows(batch, known, order).withColumn("day", day).persist()
         try:
             n = new.count()
