@@ -71,8 +71,17 @@ class StationWindows(StatefulProcessor):
         closed = [int(a) for a in s["open"] if int(a) + self.window_ms <= s["newest"] - self.lateness_ms]
         yield from self._emit(key, s, closed)
         self.state.update((json.dumps(s),))
-        if self.idle_ms is not None and s["open"]:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        self._arm(timerValues, s)
+
+    def _arm(self, timerValues, s: dict) -> None:
+        """One timer a station: the moment at which it has been silent for idle_ms. Events stamped ahead of the clock
+        put it off, so it never fires before the windows may be closed."""
+        if self.idle_ms is None:
+            return
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if s["open"]:
+            self.handle.registerTimer(max(timerValues.getCurrentProcessingTimeInMs(), s["newest"]) + self.idle_ms + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         s = self._load()
@@ -82,6 +91,8 @@ class StationWindows(StatefulProcessor):
             s["flushed"] = max([*starts, *([s["flushed"]] if s["flushed"] is not None else [])])
             yield from self._emit(key, s, starts)
             self.state.update((json.dumps(s),))
+        else:
+            self._arm(timerValues, s)
 
     def close(self) -> None:
         pass
