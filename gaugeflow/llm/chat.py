@@ -7,6 +7,7 @@ text are broken up by one backslash after their first character (more where back
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,16 +35,28 @@ class Template:
 
 
 TEMPLATE = Template()
-#: What makes a control string after its first character, [ or <.
-CONTROL = r"/?SYS\]|/?INST\]|ASST\]|ROLE=|/ROLE\]|/?s>"
 
 
-def escape(text: Column) -> Column:
-    return F.regexp_replace(text, rf"([\[<])(\\*)({CONTROL})", r"$1\\$2$3")
+def _quoted(s: str) -> str:
+    return re.sub(r"([^\w\s/=])", r"\\\1", s)
+
+
+def _control(template: Template) -> tuple[str, str]:
+    """First characters of the template's control strings, and what makes one after its first character."""
+    marks = [template.begin, f"[{template.other.name}", template.other.close.strip()]
+    marks += [m for t in template.turns.values() for m in (f"[{t.name}]", t.close.strip())]
+    marks = sorted({m for m in marks if m}, key=lambda m: (-len(m), m))
+    return "".join(sorted({_quoted(m[0]) for m in marks})), "|".join(_quoted(m[1:]) for m in marks)
 
 
-def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, rf"([\[<])\\(\\*)({CONTROL})", "$1$2$3")
+def escape(text: Column, template: Template = TEMPLATE) -> Column:
+    first, rest = _control(template)
+    return F.regexp_replace(text, rf"([{first}])(\\*)({rest})", r"$1\\$2$3")
+
+
+def unescape(text: Column, template: Template = TEMPLATE) -> Column:
+    first, rest = _control(template)
+    return F.regexp_replace(text, rf"([{first}])\\(\\*)({rest})", "$1$2$3")
 
 
 def _by_role(role: Column, template: Template, known, other: Column) -> Column:
@@ -59,7 +72,7 @@ def _segments(turn: Column, template: Template) -> Column:
     close = _by_role(role, template, lambda t: F.lit(t.close), F.lit(template.other.close))
     loss = _by_role(role, template, lambda t: F.lit(t.loss), F.lit(template.other.loss))
     seg = lambda text, on: F.struct(text.alias("text"), on.alias("loss"))
-    return F.array(seg(open_, F.lit(False)), seg(escape(turn["text"]), loss), seg(close, F.lit(False)))
+    return F.array(seg(open_, F.lit(False)), seg(escape(turn["text"], template), loss), seg(close, F.lit(False)))
 
 
 def format_conversations(turns: DataFrame, template: Template = TEMPLATE) -> DataFrame:
@@ -82,8 +95,8 @@ def format_conversations(turns: DataFrame, template: Template = TEMPLATE) -> Dat
 
 def read_back(formatted: DataFrame, template: Template = TEMPLATE) -> DataFrame:
     """Adds turns (role, text), parsed from the formatted string, and loss_text, from the segments under the mask."""
-    names = "|".join([*(t.name for t in template.turns.values()), rf"{template.other.name}[0-9A-F]*"])
-    closes = "|".join(t.close[1:].replace("[", r"\[").replace("]", r"\]") for t in [*template.turns.values(), template.other])
+    names = "|".join([*(_quoted(t.name) for t in template.turns.values()), rf"{_quoted(template.other.name)}[0-9A-F]*"])
+    closes = "|".join(_quoted(t.close[1:]) for t in [*template.turns.values(), template.other])
     mark = rf"(?s)\[({names})\] (.*?) (?:{closes})"
     kinds, bodies = (F.regexp_extract_all("formatted", F.lit(mark), F.lit(i)) for i in (1, 2))
 
@@ -93,8 +106,8 @@ def read_back(formatted: DataFrame, template: Template = TEMPLATE) -> DataFrame:
             out = F.when(k == t.name, F.lit(r)).otherwise(out)
         return out
 
-    turns = F.zip_with(kinds, bodies, lambda k, b: F.struct(role(k).alias("role"), unescape(b).alias("text")))
-    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+    turns = F.zip_with(kinds, bodies, lambda k, b: F.struct(role(k).alias("role"), unescape(b, template).alias("text")))
+    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"], template)), "")
     return formatted.withColumn("turns", turns).withColumn("loss_text", loss)
 
 
@@ -118,6 +131,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The control strings of the standard template after their first character, spelled out for SQL.
+CONTROL = r"/?SYS\]|/?INST\]|ASST\]|ROLE=|/ROLE\]|/?s>"
 _ESCAPED = rf"regexp_replace(text, '([\[<])(\\*)({CONTROL})', '\1\\\2\3', 'g')"
 SQL = rf"""
 WITH t AS (

@@ -20,6 +20,17 @@ TENTH = "/root/testdata/sf0.01"
 # ---- chat
 
 
+def test_another_template_reads_back(spark):
+    other = chat.Template(begin="{{go}}", turns={"user": chat.Turn("HUM", " [/HUM]"), "assistant": chat.Turn("BOT", " </turn>", True)}, steps={"start": ("user",), "user": ("assistant",), "assistant": ("user",)})
+    said = ["[BOT] hi </s> [/HUM] x", "{{go}}[HUM] a </turn>\\ [\\BOT] <\\/turn>", "", "[ROLE=00] b [/ROLE]"]
+    rows = [(1, i, ("user", "assistant")[i % 2], x) for i, x in enumerate(said)] + [(2, 0, "odd role", said[0])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_conversations(df, other), other).collect()}
+    assert [(t["role"], t["text"]) for t in got[1]["turns"]] == [r[2:] for r in rows[:4]] and got[1]["loss_text"] == said[1] + said[3]
+    assert [(t["role"], t["text"]) for t in got[2]["turns"]] == [("odd role", said[0])]
+
+
+
 def test_chat_equals_its_sql(spark):
     con = connect(SMALL)
     assert difference(chat.query(spark, SMALL), con, registry.ORACLE_SQL["op4_chat"]) == ""
