@@ -11,11 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.archive import Archive
+from ..sources import schemas
 
 OUT = "station string, sensor int, timestamp long, window_ms long, mean double, min double, max double, count long, regime int"
 _COLUMNS = [c.split()[0] for c in OUT.split(", ")]
@@ -106,6 +107,15 @@ def window_stream(events: DataFrame, window_ms: int, lateness_ms: int, idle_ms:
     )
 
 
+def ingest_stream(spark: SparkSession, path: str, window_ms: int, lateness_ms: int, idle_ms: int | None = None) -> DataFrame:
+    """Closed windows of a folder of raw messages. What isn't a valid message is left out here; a query of its own over
+    streams.read_stream keeps it. Files of a batch are taken by modification time, lines of a file as they are read."""
+    arrived = F.unix_micros("_metadata.file_modification_time")
+    lines = spark.readStream.format("text").load(path).select("value", arrived.alias("seq"))
+    good = schemas.decode(lines, "raw").where("ok")
+    return window_stream(good.select("m.station", "m.timestamp", "m.values", F.col("m.regime").cast("int").alias("regime"), "seq"), window_ms, lateness_ms, idle_ms)
+
+
 def dedup_stream(rows: DataFrame, key: list[str], event_time: str, within: str = "2 minutes") -> DataFrame:
     """Drops a message whose key was seen within the span."""
     return rows.withWatermark(event_time, within).dropDuplicatesWithinWatermark(key)
