@@ -133,6 +133,11 @@ def anomaly_messages(fired: DataFrame) -> DataFrame:
 MESSAGE = ["id", "rule", "severity", "state", "station", "sensor", "timestamp", "message", "value"]
 
 
+def _fixed(x: Column, digits: int, unit: str) -> Column:
+    """A number as text; a tie goes to the even digit."""
+    return F.format_string(f"%.{digits}f%s", F.bround(x, digits), F.lit(unit))
+
+
 def _messages(rows: DataFrame, rule: str, value: str | None, severity: Column, text: Column, id_: Column | None = None) -> DataFrame:
     """Alert rows; a rule about stations has no sensor, a derived one no value."""
     sensor = F.col("sensor") if "sensor" in rows.columns else F.lit(None)
@@ -149,7 +154,7 @@ def _turned(rows: DataFrame, rule: str, value: str, severity: str, fired: Column
 
 def calibration_messages(turned: DataFrame, floor: float = COVERAGE_FLOOR) -> DataFrame:
     """turned: the rows of calibration()."""
-    share = F.format_string("%.1f%%", F.col("coverage") * 100)
+    share = _fixed(F.col("coverage") * 100, 1, "%")
     return _turned(turned, "calibration", "coverage", "serious", F.concat(F.lit("Interval coverage "), share, F.lit(f" below {floor:.0%}")), F.concat(F.lit("Interval coverage recovered to "), share))
 
 
@@ -161,7 +166,7 @@ def degraded_messages(turned: DataFrame) -> DataFrame:
 
 def accuracy_messages(turned: DataFrame, floor: float = ACCURACY_FLOOR, sustain_ms: int = SUSTAIN_MS) -> DataFrame:
     """turned: the rows of low_accuracy()."""
-    share = F.format_string("%.0f%%", F.col("accuracy") * 100)
+    share = _fixed(F.col("accuracy") * 100, 0, "%")
     return _turned(turned, "regime_accuracy", "accuracy", "warning", F.concat(F.lit("Regime detection accuracy "), share, F.lit(f" below {floor:.0%} for {sustain_ms / 1000:.0f} s")), F.concat(F.lit("Regime detection accuracy recovered to "), share))
 
 
@@ -173,13 +178,13 @@ def regime_messages(changes: DataFrame) -> DataFrame:
 def stale_messages(found: DataFrame, now_ms: int) -> DataFrame:
     """found: the rows of stale()."""
     rows = found.withColumn("timestamp", F.col("last_received")).withColumn("state", F.lit("firing"))
-    text = F.format_string("No new window for %.0f s", (F.lit(now_ms) - F.col("last_received")) / 1000)
+    text = F.concat(F.lit("No new window for "), _fixed((F.lit(now_ms) - F.col("last_received")) / 1000, 0, " s"))
     return _messages(rows, "stale", None, F.lit("critical"), text, F.concat_ws(":", F.lit("stale"), "station", F.col("sensor").cast("string")))
 
 
 def latency_messages(found: DataFrame, above: float = LATENCY_ALERT_MS, last: int = LATENCY_BUCKETS) -> DataFrame:
     """found: the rows of latency_sustained()."""
-    text = F.concat(F.lit(f"Pipeline latency above {above:.0f} ms for {last} s (peak "), F.format_string("%.0f", "peak"), F.lit(" ms)"))
+    text = F.concat(F.lit(f"Pipeline latency above {above:.0f} ms for {last} s (peak "), _fixed(F.col("peak"), 0, " ms)"))
     return _messages(found.withColumn("state", F.lit("firing")), "latency", None, F.lit("warning"), text, F.concat_ws(":", F.lit("latency"), "station"))
 
 
