@@ -44,6 +44,27 @@ def test_files_hold_every_document(spark, awkward, nothing, tmp_path):
         assert got == want
 
 
+def test_documents_are_read_by_id(spark, awkward, tmp_path):
+    path = str(tmp_path / "t")
+    least = -(2**63)
+    docs = awkward.select("doc_id", "text").unionByName(spark.createDataFrame([(least, "the least long"), (None, "none")], "doc_id long, text string"))
+    token_files.write_token_files(docs, path, tokens.default_path(), 1, 3)
+    rows = docs.collect()
+    for wanted in ([least], [0], [1, 6, 12_345], []):
+        got = sorted((r["doc_id"], r["ids"]) for r in token_files.read_documents(spark, path, wanted).collect())
+        assert got == sorted((r[0], direct(r[1], 1).tolist()) for r in rows if r[0] in wanted)
+    every = [r["doc_id"] for r in token_files.read_token_files(spark, path).collect()]
+    assert every.count(least) == 1 and every.count(None) == sum(r[0] is None for r in rows)
+
+
+def test_a_sampled_document_trains_from_end_to_end():
+    raw = np.arange(50_000, dtype="<u2").tobytes()
+    got = token_files.spread(raw)
+    assert len(got) == token_files.DICT_SLICES and all(len(s) == token_files.SLICE_BYTES for s in got)
+    assert raw.startswith(got[0]) and raw.endswith(got[-1]) and all(raw.find(s) % 2 == 0 for s in got)
+    assert token_files.spread(b"") == [] and token_files.spread(raw[:100]) == [raw[:100]]
+
+
 def test_one_document_is_read_by_its_index(spark, tmp_path):
     path = str(tmp_path / "t")
     token_files.write_token_files(spark.read.parquet(f"{SMALL}/documents.parquet"), path, tokens.default_path(), 1, 2)
