@@ -5,17 +5,19 @@ neighbours, and is refined by local joins: the neighbours of a node, forward and
 are scored in one block, and every node keeps its best K. Only lists that hold a new neighbour are joined again, and rounds
 stop when the edges over the threshold stop growing. A node whose whole list lies over the threshold is saturated: its
 list is enlarged to all that its component of such edges holds, found block by block. Recall is then audited against
-brute force, and rounds from further orders follow until it is high enough. Edges over the threshold, decided in double
-precision, give links and components.
+brute force, and rounds from further orders follow until it is high enough; a recall that stays too low is an error.
+Edges over the threshold, decided in double precision, give links and components. Vectors of each length have a graph
+of their own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, bound_batches, settle, small_batches, table
@@ -31,7 +33,9 @@ ORDERS, BLOCK, PLANES = 10, 96, 62
 ROUNDS, LEAST_GAIN = 10, 0.005
 #: Members of one block of a saturated component.
 CROWD = 512
-MIN_RECALL, REFINED = 0.97, 3
+#: Rounds from further orders follow up to REFINED times while the audit finds less than MIN_RECALL of the links; less
+#: than LEAST_RECALL after them is an error.
+MIN_RECALL, REFINED, LEAST_RECALL = 0.97, 4, 0.9
 #: Queries of the audit, at most (those with the least hashes among ids divisible by 100).
 AUDIT = 1024
 
@@ -42,13 +46,23 @@ def _matrix(column: pa.Array, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
 
 
-def vectors(rows: DataFrame) -> DataFrame:
-    """node (hash of the vector's bytes), vec (double precision bytes), vec_id: the rows whose vector can link: not
-    null, of the most frequent length, finite and not zero."""
+class RecallTooLow(RuntimeError):
+    """The audit found too few of the links after every round that is allowed."""
+
+
+def node_of(vec: Column, salt: int = 0) -> Column:
+    return F.xxhash64(vec, F.lit(salt))
+
+
+def lengths(rows: DataFrame) -> list[int]:
+    """Lengths of more than one vector, ascending: a model gives vectors of one length, so there are few."""
+    return sorted(r["d"] for r in rows.where(F.size("embedding") > 0).groupBy(F.size("embedding").alias("d")).count().where("count > 1").collect())
+
+
+def vectors(rows: DataFrame, d: int) -> DataFrame:
+    """vec_id, d, node (hash of the vector's bytes), vec (double precision bytes): the rows whose vector can link: not
+    null, of length d, finite and not zero."""
     size = F.size("embedding")
-    common = rows.where(size > 0).groupBy(size.alias("d")).count().orderBy(F.desc("count"), "d").limit(1)
-    d = common.first()
-    d = d["d"] if d else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
@@ -64,7 +78,23 @@ def vectors(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("vec_id").filter(pa.array(ok)), pa.array([v.tobytes() for v in x], pa.binary())], ["vec_id", "vec"])
 
     whole = rows.where((size == d) & ~F.exists("embedding", lambda v: v.isNull())).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return whole.mapInArrow(run, "vec_id long, vec binary").select("vec_id", F.xxhash64("vec").alias("node"), "vec")
+    return whole.mapInArrow(run, "vec_id long, vec binary").select("vec_id", F.lit(d).alias("d"), node_of(F.col("vec")).alias("node"), "vec")
+
+
+def distinct_nodes(own: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """own, and its nodes with vec, copies, least vec_id and audited. Where different vectors have one hash, all but the
+    least get another, until none do."""
+    salt = 0
+    while True:
+        every = own.groupBy("node").agg(F.first("d").alias("d"), F.min("vec").alias("vec"), F.max("vec").alias("last"), F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.max(F.coalesce(F.pmod("vec_id", F.lit(100)) == 0, F.lit(False))).alias("audited"))
+        nodes = scratch.write(every.withColumn("torn", F.col("vec") != F.col("last")).drop("last"), "found")
+        torn = nodes.where("torn").select("node", F.col("vec").alias("__first"))
+        if torn.isEmpty():
+            return own, nodes.drop("torn")
+        salt += 1
+        moved = F.when(F.col("__first") != F.col("vec"), node_of(F.col("vec"), salt)).otherwise(F.col("node"))
+        own = scratch.write(own.join(torn, "node", "left").select("vec_id", "d", moved.alias("node"), "vec"), "own")
+        scratch.drop(nodes)
 
 
 def seed_edges(nodes: DataFrame, first: int, orders: int = ORDERS) -> DataFrame:
@@ -193,23 +223,22 @@ def exact(pairs: DataFrame, vecs: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "va", "vb").mapInArrow(run, "a long, b long")
 
 
-def audit(queries: list[tuple[int, bytes]], nodes: DataFrame, threshold: float) -> set[tuple[int, int]]:
-    """Links of the queries by brute force in blocks. queries: at most AUDIT nodes and their vectors."""
-    if not queries:
-        return set()
-    ids = np.array([q[0] for q in queries])
-    x = np.stack([np.frombuffer(q[1], np.float64) for q in queries])
+def audit(queries: list[tuple[int, bytes]], nodes: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b), a < b, of the queries by brute force in blocks. queries: at most AUDIT nodes and their vectors."""
+    ids = np.array([q[0] for q in queries], np.int64)
+    x = np.stack([np.frombuffer(q[1], np.float64) for q in queries]) if queries else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
         for b in batches:
-            if b.num_rows:
+            if b.num_rows and x is not None:
                 own = b.column("node").to_numpy()
                 i, j = np.nonzero(x @ _matrix(b.column("vec"), np.float64).T >= threshold)
                 keep = ids[i] != own[j]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i][keep]), pa.array(own[j][keep])], ["a", "b"])
+                q, o = ids[i][keep], own[j][keep]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(q, o)), pa.array(np.maximum(q, o))], ["a", "b"])
 
-    return {(r["a"], r["b"]) for r in nodes.select("node", "vec").mapInArrow(run, "a long, b long").toLocalIterator()}
+    return nodes.select("node", "vec").mapInArrow(run, "a long, b long").distinct()
 
 
 def descend(nodes: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
@@ -217,8 +246,8 @@ def descend(nodes: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) ->
     low = threshold - SLACK
     pick = nodes.where("audited").orderBy(F.xxhash64("node", F.lit(1)), "node").limit(AUDIT)
     queries = [(r["node"], bytes(r["vec"])) for r in pick.select("node", "vec").toLocalIterator()]
-    truth = audit(queries, nodes, threshold)
-    asked = nodes.sparkSession.createDataFrame([(q[0],) for q in queries] or [(0,)], "a long")
+    truth = scratch.write(audit(queries, nodes, threshold), "truth")
+    wanted, hit = truth.count(), 0
     lists, seen, turn, pairs = None, None, 0, None
     for attempt in range(REFINED):
         seeds = scratch.write(seed_edges(nodes.select("node", "half"), attempt * ORDERS), "seeds")
@@ -242,12 +271,11 @@ def descend(nodes: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) ->
         more = saturated(near, lists, nodes, low, scratch)
         with small_batches(nodes.sparkSession, 16):
             pairs = scratch.write(near.unionByName(more).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "over")
-        if not truth:
-            break
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hit = truth & {(r["a"], r["b"]) for r in both.join(F.broadcast(asked), "a", "left_semi").toLocalIterator()}
-        if len(hit) >= MIN_RECALL * len(truth):
+        hit = truth.join(pairs, ["a", "b"], "left_semi").count() if wanted else 0
+        if hit >= MIN_RECALL * wanted:
             break
+    if hit < LEAST_RECALL * wanted:
+        raise RecallTooLow(f"{hit} of {wanted} audited links found")
     edges = scratch.write(exact(pairs, nodes.select("node", "vec"), threshold), "edges")
     scratch.drop(lists)
     return edges
@@ -260,25 +288,27 @@ def _flat(lists: DataFrame, new: bool) -> DataFrame:
 def link(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row.
 
-    A vector that is null, zero, of another length than most, or holds null or non-finite components links with
-    nothing and is kept. Rows with the same vector are linked to each other, repeated rows included. A null vec_id is
-    carried as null and never names a component that has another id. An empty table gives no row. Other columns,
-    labels too, are not read.
+    A vector that is null, zero, or holds null or non-finite components links with nothing and is kept; vectors of
+    different lengths are never compared. Rows with the same vector are linked to each other, repeated rows included. A
+    null vec_id is carried as null and never names a component that has another id. An empty table gives no row. Other
+    columns, labels too, are not read.
     """
     scratch = Scratch(rows.sparkSession)
     bound_batches(rows.sparkSession)
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    own = scratch.write(vectors(rows).select("vec_id", "node", "vec"), "own")
-    halves = own.groupBy("node").agg(F.min("vec").alias("vec"), F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.max(F.coalesce(F.pmod("vec_id", F.lit(100)) == 0, F.lit(False))).alias("audited"))
+    sizes = lengths(rows) or [1]
+    own = scratch.write(reduce(DataFrame.unionByName, [vectors(rows, d) for d in sizes]), "own")
+    own, halves = distinct_nodes(own, scratch)
 
     def half(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
         for b in batches:
-            x = _matrix(b.column("vec"), np.float64).astype(np.float16) if b.num_rows else np.zeros((0, 1), np.float16)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([v.tobytes() for v in x], pa.binary())], [*b.schema.names, "half"])
+            out = [np.frombuffer(v, np.float64).astype(np.float16).tobytes() for v in b.column("vec").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, "half"])
 
-    nodes = scratch.write(halves.mapInArrow(half, "node long, vec binary, copies long, least long, audited boolean, half binary"), "nodes")
-    edges = descend(nodes.select("node", "vec", "half", "audited"), scratch, threshold)
+    nodes = scratch.write(halves.mapInArrow(half, "node long, d int, vec binary, copies long, least long, audited boolean, half binary"), "nodes")
+    of = lambda d: nodes.where(F.col("d") == d).select("node", "vec", "half", "audited")
+    edges = reduce(DataFrame.unionByName, [descend(of(d), scratch, threshold) for d in sizes])
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     links = both.join(nodes.select(F.col("node").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
     found = components(edges, scratch)

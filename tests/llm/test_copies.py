@@ -7,6 +7,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pytest
 from compare import SMALL
 from awkward_docs import prose
 from pyspark.sql import functions as F
@@ -279,7 +280,11 @@ def test_rows_with_one_id_keep_their_own_lines(spark):
     assert got == sorted([*docs[:4], (7, "")])
 
 
-def test_vectors_against_brute_force(spark):
+@pytest.mark.parametrize("torn", [False, True])
+def test_vectors_against_brute_force(spark, monkeypatch, torn):
+    if torn:  # different vectors often have one hash
+        real = embeddings.node_of
+        monkeypatch.setattr(embeddings, "node_of", lambda vec, salt=0: real(vec, salt) if salt else F.pmod(real(vec), F.lit(40)))
     rng = np.random.default_rng(6)
     centres = rng.standard_normal((12, 16))
     x = np.concatenate([rng.standard_normal((300, 16)), *(c + 0.12 * np.linalg.norm(c) / 4 * rng.standard_normal((40, 16)) for c in centres)])
@@ -299,3 +304,29 @@ def test_vectors_against_brute_force(spark):
     for i in (2000, 2001, 2002, 2003, 2004, 2005):
         assert got[i] == (0, i, True)
     assert embeddings.link(df.limit(0)).count() == 0
+
+
+def test_vectors_of_several_lengths(spark):
+    """Each length is compared within itself; a null id and columns of clashing names do no harm."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k, d in enumerate((4, 8, 8, 4)):
+        v = rng.standard_normal(d)
+        rows += [(10 * k + j, (v + 0.01 * rng.standard_normal(d)).tolist(), 0) for j in range(3)]
+    rows += [(77, [1.0] * 5, 0), (None, rows[0][1], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({c: F.lit("x") for c in ("node", "vec", "d", "n_links", "kept")})
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.link(df).collect()}
+    m = {r[0]: np.array(r[1]) / np.linalg.norm(r[1]) for r in rows}
+    near = lambda a, b: len(m[a]) == len(m[b]) and m[a] @ m[b] >= 0.9
+    ids = [i for i in m if i is not None]
+    for i in ids:
+        links = [j for j in m if j != i and near(i, j)]
+        assert got[i][0] == len(links) and got[i][1] == min([i, *(j for j in links if j is not None)])
+    assert got[None][:2] == (3, 0) and got[77] == (0, 77, True)
+
+
+def test_recall_that_stays_low_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "LEAST_RECALL", 1.1)
+    df = spark.createDataFrame([(100 * i, [1.0, 0.001 * i]) for i in range(20)], "vec_id long, embedding array<double>")
+    with pytest.raises(embeddings.RecallTooLow):
+        embeddings.link(df)
