@@ -193,7 +193,8 @@ def score(docs: DataFrame, model: Model, score: str = "score", predicted: str =
 
 def train(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0, max_toxic: int = MAX_TOXIC, max_other: int = MAX_OTHER) -> Model:
     """Fits on at most max_toxic + max_other labelled rows whose id isn't held out; labels that are null or not 0 or 1
-    don't count. The sample's ids are a table of that proven size, so joining them moves no text."""
+    don't count. The sample's ids are a table of that proven size, so joining them moves no text. Of documents with one
+    id the least text is learned, so repeated ids don't outgrow the bound."""
     spark = docs.sparkSession
     learn = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), mod, rest))
     n = {r["toxic"]: r["n"] for r in learn.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -201,7 +202,8 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0, max_t
     part = lambda c, most: learn.where(F.col("toxic") == c).orderBy(h, "doc_id").limit(most)
     ids = part(1, max_toxic).unionByName(part(0, max_other))
     scratch = Scratch(spark)
-    sample = scratch.write(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic"), "sample")
+    met = docs.select("doc_id", "text").join(F.broadcast(ids.distinct()), "doc_id")
+    sample = scratch.write(met.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), "sample")
     model = fit(sample, (n.get(1, 0), n.get(0, 0)))
     scratch.clear()
     return model

@@ -1,5 +1,6 @@
 """Chat, media, toxicity, language and sampled segmentations: round trips, brute force and held-out accuracy."""
 
+import re
 import hashlib
 import zlib
 from collections import Counter
@@ -126,6 +127,36 @@ def test_toxicity_held_out(spark):
     assert all(zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id)
 
 
+def test_toxicity_scores_against_brute_force(spark):
+    """A score is the logistic of the weights of all distinct n-grams of the whole text, added up one by one."""
+    full = (1 << 32) - 1
+
+    def buckets(text):
+        points, out = [ord(c) for c in " " + re.sub("[\t-\r]", " ", text.lower()) + " "], set()
+        for i in range(len(points)):
+            h = points[i] * 0x9E3779B1 & full
+            for n in range(2, min(5, len(points) - i) + 1):
+                h = (h ^ points[i + n - 1]) * 0x85EBCA6B & full
+                if n >= 3:
+                    out.add((((h ^ h >> 15) * 0xC2B2AE35 + n) & full) >> 12)
+        return out
+
+    docs, labels = (spark.read.parquet(f"{TENTH}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    weight = dict(zip(model.buckets.tolist(), model.weights.tolist()))
+    assert weight
+    for r in toxicity.score(docs.select("doc_id", "text"), model).collect():
+        s = model.intercept + sum(weight.get(b, 0.0) for b in buckets(r["text"] or ""))
+        assert abs(r["score"] - 1 / (1 + np.exp(-s))) < 1e-9 and r["predicted"] == (r["score"] >= 0.5)
+
+
+def test_repeated_ids_do_not_enlarge_the_sample(spark):
+    docs, labels = (spark.read.parquet(f"{TENTH}/{t}.parquet") for t in ("documents", "labels"))
+    run = lambda d: toxicity.train(d, labels)
+    once, thrice = run(docs), run(docs.unionByName(docs).unionByName(docs))
+    assert once.buckets.tolist() == thrice.buckets.tolist() and once.weights.tolist() == thrice.weights.tolist()
+
+
 def test_toxicity_does_not_see_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
