@@ -33,7 +33,8 @@ REGISTERS, ROWS = 100, 5
 #: Candidates whose signatures, of counted and of distinct shingles, both agree on less than this share of registers (five
 #: standard errors under the threshold) go.
 LEAST_AGREED = 0.6
-PIECE_BYTES = 4 << 20
+#: Bytes of texts hashed at once; working arrays take about 40 times as much.
+PIECE_BYTES = 1 << 20
 #: Candidate ids up to which a table is sent to every executor (24 bytes each); beyond it they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 _P = np.uint64(0x100000001B3)
@@ -54,7 +55,6 @@ def shingles(column: pa.Array, n: int = WORDS) -> Iterator[tuple[int, np.ndarray
     for i, j in pieces(raw, offs, PIECE_BYTES):
         b = raw[offs[i] : offs[j]]
         ends = offs[i + 1 : j + 1] - offs[i]
-        row_of = np.repeat(np.arange(j - i, dtype=np.int64), np.diff(offs[i : j + 1]))
         word = np.concatenate([[False], _IS_WORD[b], [False]])
         start = word[1:-1] & ~word[:-2]
         stop = word[1:-1] & ~word[2:]
@@ -63,10 +63,16 @@ def shingles(column: pa.Array, n: int = WORDS) -> Iterator[tuple[int, np.ndarray
         stop[edge - 1] = word[1:-1][edge - 1]
         s, e = np.nonzero(start)[0], np.nonzero(stop)[0] + 1
         power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(b), _P)]))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[:-1])])
+        sums = np.zeros(len(b) + 1, np.uint64)
+        sums[1:] = b
+        sums[1:] += np.uint64(1)
+        sums[1:] *= power[:-1]
+        np.cumsum(sums, out=sums)
+        del power
         back = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(b), np.uint64(_inverse(int(_P))))]))
         w = mix64((sums[e] - sums[s]) * back[s] + (e - s).astype(np.uint64))
-        row = row_of[s] if len(s) else np.zeros(0, np.int64)
+        del sums, back
+        row = np.searchsorted(ends, s, side="right")
         words = np.bincount(row, minlength=j - i)
         c = np.uint64(0x9E3779B97F4A7C15)
         first = np.concatenate([[0], np.cumsum(words)])[:-1]
