@@ -1,9 +1,9 @@
 """Toxicity (operator 8): a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A text's features are the presence of hashed character n-grams (three to five code points of the lower-cased text).
-From labelled texts come r = log((a + pos) / |a + pos|) - log((a + neg) / |a + neg|) per n-gram; n-grams whose rates in
-the two classes differ by less than `min_z` standard errors get no weight. A logistic regression with ridge penalty is
-then fitted on x = r * presence. Scoring is one pass over all texts without a shuffle.
+A text's features are the presence of all its character n-grams (three to five code points of the lower-cased text),
+hashed into 2^20 buckets. From labelled texts come r = log((a + pos) / |a + pos|) - log((a + neg) / |a + neg|) per bucket,
+and a logistic regression with ridge penalty is fitted on x = r * presence; every bucket met in them has a weight. Scoring
+is one pass over all texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, bound_batches, settle, table
@@ -22,10 +22,12 @@ from .common import Scratch, bound_batches, settle, table
 BITS = 20
 NGRAMS = (3, 4, 5)
 PIECE_CHARS = 400_000
-#: Bounds of the labelled sample that fits the model, toxic and other; the rows with the least hashes are taken.
+#: Bounds of the labelled sample that fits the model: rows, toxic and other, and the n-grams of each class's rows (the last
+#: row may pass them). The rows with the least hashes are taken.
 MAX_TOXIC, MAX_OTHER = 5_000, 10_000
-MIN_Z = 6.0
-MAX_FEATURES = 10_000
+MAX_NGRAMS = {1: 12_000_000, 0: 24_000_000}
+#: Features of the sample that the fit reads at once.
+BLOCK = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -45,9 +47,8 @@ def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return cp, np.concatenate([[0], np.cumsum(n)])
 
 
-def grams(cp: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each length, the bucket of the n-gram that starts at each position and whether it lies within one text."""
-    left = np.repeat(offs[1:], np.diff(offs)) - np.arange(len(cp))
+def grams(cp: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each length, the bucket of the n-gram that starts at each position, those that cross texts included."""
     h = cp * np.uint32(0x9E3779B1)
     for n in range(2, max(NGRAMS) + 1):
         if len(cp) < n:
@@ -55,19 +56,27 @@ def grams(cp: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.nda
         h = (h[: len(cp) - n + 1] ^ cp[n - 1 :]) * np.uint32(0x85EBCA6B)
         if n in NGRAMS:
             b = h ^ (h >> np.uint32(15))
-            yield (b * np.uint32(0xC2B2AE35) + np.uint32(n)) >> np.uint32(32 - BITS), left[: len(h)] >= n
-
-
-def present(column: pa.Array, wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, bucket) pairs, of the wanted buckets only if a mask is given."""
-    cp, offs = code_points(column)
-    row = np.repeat(np.arange(len(column), dtype=np.int64), np.diff(offs))
-    keys = []
-    for b, inside in grams(cp, offs):
-        at = np.nonzero(inside if wanted is None else wanted[b] & inside)[0]
-        keys.append(row[at] << BITS | b[at].astype(np.int64))
-    pairs = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-    return pairs >> BITS, pairs & ((1 << BITS) - 1)
+            yield n, ((b * np.uint32(0xC2B2AE35) + np.uint32(n)) >> np.uint32(32 - BITS)).astype(np.intp)
+
+
+def present(column: pa.Array) -> Iterator[np.ndarray]:
+    """The distinct buckets of each text, in any order."""
+    for part in slices(column):
+        cp, offs = code_points(part)
+        if len(part) == 1 and len(cp) > PIECE_CHARS:
+            met = np.zeros(1 << BITS, bool)
+            for i in range(0, len(cp), PIECE_CHARS):
+                for _, b in grams(cp[i : i + PIECE_CHARS + max(NGRAMS) - 1]):
+                    met[b] = True
+            yield np.nonzero(met)[0]
+            continue
+        every = list(grams(cp))
+        place, last = np.arange(len(NGRAMS) * int(np.diff(offs).max())), np.empty(1 << BITS, np.intp)
+        for a, z in zip(offs[:-1], offs[1:]):
+            b = np.concatenate([b[a : max(a, z - n + 1)] for n, b in every]) if every else np.zeros(0, np.intp)
+            # of the places of one bucket a single one is the last written
+            last[b] = place[: len(b)]
+            yield b[last[b] == place[: len(b)]]
 
 
 def slices(column: pa.Array) -> Iterator[pa.Array]:
@@ -85,86 +94,78 @@ def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod == rest, F.lit(True))
 
 
-def fit(sample: DataFrame, priors: tuple[int, int], rounds: int = 300, ridge: float = 1e-4) -> Model:
-    """sample: text, toxic (0 or 1). Counting per n-gram is distributed; the driver sees the n-grams that differ between
-    the classes, at most MAX_FEATURES, and the bounded sample's indices into them."""
+def fit(sample: DataFrame, priors: tuple[int, int], rounds: int = 100, ridge: float = 1e-4) -> Model:
+    """sample: text, toxic (0 or 1), bounded as the constants say: its buckets come to the driver, 4 bytes a feature."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
-        totals = np.zeros((2, 1 << BITS), np.int64)
         for b in batches:
-            toxic = b.column("toxic").to_numpy(zero_copy_only=False)
-            at = 0
-            for part in slices(b.column("text")):
-                row, bucket = present(part, None)
-                for c in (0, 1):
-                    totals[c] += np.bincount(bucket[toxic[at : at + len(part)][row] == c], minlength=1 << BITS)
-                at += len(part)
-        met = np.nonzero(totals.sum(0))[0]
-        for i in range(0, len(met), 50_000):
-            m = met[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(totals[1][m]), pa.array(totals[0][m])], ["bucket", "pos", "neg"])
-
-    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+            found = pa.array([np.sort(k).astype(np.int32).tobytes() for k in present(b.column("text"))], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), found], ["toxic", "found"])
+
+    got = sorted((bytes(r["found"]), r["toxic"]) for r in sample.repartition(16).mapInArrow(index, "toxic int, found binary").toLocalIterator())
+    y = np.array([t for _, t in got], float)
+    n1, n0 = int(y.sum()), int(len(y) - y.sum())
     all1, all0 = priors
     prior = np.log((all1 + 0.5) / (all0 + 0.5))
-    if not n1 or not n0:
+    ends = np.cumsum([0, *(len(f) // 4 for f, _ in got)])
+    col = np.frombuffer(b"".join(f for f, _ in got), np.int32)
+    del got
+    if not n1 or not n0 or not len(col):
         return Model(np.zeros(0, np.int64), np.zeros(0), float(prior))
-    counted = sample.mapInArrow(count, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    p, q = F.col("pos") / F.lit(n1), F.col("neg") / F.lit(n0)
-    both = (F.col("pos") + F.col("neg") + 1) / F.lit(n1 + n0 + 2)
-    z = (p - q) / F.sqrt(both * (1 - both) * F.lit(1 / n1 + 1 / n0))
-    kept = counted.select("bucket", "pos", "neg", F.abs(z).alias("z")).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "bucket").limit(MAX_FEATURES).toPandas()
-    buckets = np.sort(kept["bucket"].to_numpy(np.int64))
-    if not len(buckets):
-        return Model(buckets, np.zeros(0), float(prior))
-    kept = kept.set_index("bucket").loc[buckets]
-    pos, neg = 1.0 + kept["pos"].to_numpy(float), 1.0 + kept["neg"].to_numpy(float)
+    met = np.bincount(col, minlength=1 << BITS) > 0
+    buckets = np.nonzero(met)[0]
+    col = (np.cumsum(met) - 1).astype(np.int32)[col]
+    pos, neg = 1 + _by_feature(col, ends, y, len(buckets)), 1 + _by_feature(col, ends, 1 - y, len(buckets))
     ratio = np.log(pos / pos.sum()) - np.log(neg / neg.sum())
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        settle()
-        wanted = np.zeros(1 << BITS, bool)
-        wanted[buckets] = True
-        for b in batches:
-            toxic, at = b.column("toxic"), 0
-            for part in slices(b.column("text")):
-                row, bucket = present(part, wanted)
-                cut = np.searchsorted(row, np.arange(len(part) + 1))
-                found = np.searchsorted(buckets, bucket).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([toxic.slice(at, len(part)).cast(pa.int32()), pa.array([found[a:z].tobytes() for a, z in zip(cut, cut[1:])], pa.binary())], ["toxic", "found"])
-                at += len(part)
-
-    got = sorted((bytes(r["found"]), r["toxic"]) for r in sample.mapInArrow(index, "toxic int, found binary").toLocalIterator())
-    y = np.array([t for _, t in got], float)
-    col = np.frombuffer(b"".join(f for f, _ in got), np.int32)
-    row = np.repeat(np.arange(len(got), dtype=np.int32), [len(f) // 4 for f, _ in got])
     weight = np.where(y == 1, max(all1, 1) / n1, max(all0, 1) / n0)
-    weight = weight / weight.sum()
-    del got
-    return Model(buckets, *logistic(row, col, ratio, y, weight, float(prior), rounds, ridge))
+    return Model(buckets, *logistic(col, ends, ratio, y, weight / weight.sum(), float(prior), rounds, ridge))
+
+
+def _blocks(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of rows with about BLOCK features each; one long row stands alone."""
+    i, n = 0, len(ends) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + BLOCK, side="right")) - 1)
+        yield i, min(j, n)
+        i = j
+
+
+def _by_feature(col: np.ndarray, ends: np.ndarray, of_row: np.ndarray, n: int) -> np.ndarray:
+    """Per feature of n, the sum of a value over the rows that hold it."""
+    out = np.zeros(n)
+    for i, j in _blocks(ends):
+        out += np.bincount(col[ends[i] : ends[j]], np.repeat(of_row[i:j], np.diff(ends[i : j + 1])), minlength=n)
+    return out
+
+
+def _by_row(col: np.ndarray, ends: np.ndarray, of_feature: np.ndarray) -> np.ndarray:
+    """Per row, the sum of a value over its features."""
+    out = np.zeros(len(ends) - 1)
+    for i, j in _blocks(ends):
+        some = np.nonzero(np.diff(ends[i : j + 1]))[0]
+        if len(some):
+            out[i + some] = np.add.reduceat(of_feature[col[ends[i] : ends[j]]], ends[i + some] - ends[i])
+    return out
 
 
-def logistic(row, col, ratio, y, weight, prior: float, rounds: int, ridge: float) -> tuple[np.ndarray, float]:
-    """Accelerated gradient descent on the weighted logistic loss over x = ratio * presence, with a ridge penalty."""
-    size = np.bincount(col, minlength=len(ratio))
-    x = ratio.astype(np.float32)[col]
+def logistic(col, ends, ratio, y, weight, prior: float, rounds: int, ridge: float) -> tuple[np.ndarray, float]:
+    """Accelerated gradient descent on the weighted logistic loss over x = ratio * presence, with a ridge penalty. Returns
+    the weight of a feature's presence, and the intercept."""
     v, top = np.ones(len(ratio)), 1.0
-    for _ in range(20):  # the largest eigenvalue of the weighted second moments bounds the curvature
-        v = np.bincount(col, x * (weight * np.bincount(row, x * v[col], minlength=len(y)))[row], minlength=len(ratio))
+    for _ in range(10):  # the largest eigenvalue of the weighted second moments bounds the curvature
+        v = ratio * _by_feature(col, ends, weight * _by_row(col, ends, ratio * v), len(ratio))
         top = float(np.linalg.norm(v)) or 1.0
         v /= top
     step = 1 / (0.25 * (top + 1) * 1.1 + ridge)
     w, b, wv, bv = np.zeros(len(ratio)), prior, np.zeros(len(ratio)), prior
     for t in range(rounds):
-        s = np.bincount(row, x * wv[col], minlength=len(y)) + bv
+        s = _by_row(col, ends, ratio * wv) + bv
         g = weight * (1 / (1 + np.exp(-np.clip(s, -30, 30))) - y)
-        gw = np.bincount(col, x * g[row], minlength=len(ratio)) + ridge * wv
-        nw, nb = wv - step * gw, bv - step * g.sum()
+        nw, nb = wv - step * (ratio * _by_feature(col, ends, g, len(ratio)) + ridge * wv), bv - step * g.sum()
         m = t / (t + 3)
         wv, bv, w, b = nw + m * (nw - w), nb + m * (nb - b), nw, nb
-    return np.where(size > 0, w * ratio, 0.0), float(b)
+    return w * ratio, float(b)
 
 
 def score(docs: DataFrame, model: Model, score: str = "score", predicted: str = "predicted") -> DataFrame:
@@ -178,23 +179,20 @@ def score(docs: DataFrame, model: Model, score: str = "score", predicted: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
         buckets, weights, intercept = fitted
-        wanted, w = np.zeros(1 << BITS, bool), np.zeros(1 << BITS)
-        wanted[buckets], w[buckets] = True, weights
+        w = np.zeros(1 << BITS)
+        w[buckets] = weights
         for batch in batches:
-            out = []
-            for part in slices(batch.column("text")):
-                row, bucket = present(part, wanted)
-                out.append(np.bincount(row, w[bucket], minlength=len(part)) + intercept)
-            s = 1 / (1 + np.exp(-np.clip(np.concatenate(out) if out else np.zeros(0), -700, 700)))
+            s = np.array([w[b].sum() for b in present(batch.column("text"))], float) + intercept
+            s = 1 / (1 + np.exp(-np.clip(s, -700, 700)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*names, score, predicted])
 
     return docs.mapInArrow(run, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0, max_toxic: int = MAX_TOXIC, max_other: int = MAX_OTHER) -> Model:
-    """Fits on at most max_toxic + max_other labelled rows whose id isn't held out; labels that are null or not 0 or 1
-    don't count. The sample's ids are a table of that proven size, so joining them moves no text. Of documents with one
-    id the least text is learned, so repeated ids don't outgrow the bound."""
+    """Fits on at most max_toxic + max_other labelled rows, of at most MAX_NGRAMS n-grams, whose id isn't held out; labels
+    that are null or not 0 or 1 don't count. The sample's ids are a table of that proven size, so joining them moves no
+    text. Of documents with one id the least text is learned, so repeated ids don't outgrow the bound."""
     spark = docs.sparkSession
     learn = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), mod, rest))
     n = {r["toxic"]: r["n"] for r in learn.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -203,8 +201,13 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0, max_t
     ids = part(1, max_toxic).unionByName(part(0, max_other))
     scratch = Scratch(spark)
     met = docs.select("doc_id", "text").join(F.broadcast(ids.distinct()), "doc_id")
-    sample = scratch.write(met.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), "sample")
-    model = fit(sample, (n.get(1, 0), n.get(0, 0)))
+    sample = scratch.write(met.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "sample")
+    # a text has at most one n-gram of each length a place, and no more features than there are buckets
+    size = F.least(len(NGRAMS) * F.coalesce(F.char_length("text"), F.lit(0)).cast("long"), F.lit(1 << BITS))
+    before = F.sum("size").over(Window.partitionBy("toxic").orderBy(h, "doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    most = F.when(F.col("toxic") == 1, MAX_NGRAMS[1]).otherwise(MAX_NGRAMS[0])
+    taken = sample.select("doc_id", "toxic", size.alias("size")).withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < most).select("doc_id", "toxic")
+    model = fit(sample.join(F.broadcast(taken), ["doc_id", "toxic"]).select("text", "toxic"), (n.get(1, 0), n.get(0, 0)))
     scratch.clear()
     return model
 
