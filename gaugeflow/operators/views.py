@@ -90,13 +90,26 @@ def median_latency(arrivals: DataFrame, last: int = 500, order: str = "received"
 
 
 def throughput(arrivals: DataFrame, span_ms: int = 10_000, chunk_ms: int | None = None, at: str = "received") -> DataFrame:
-    """Adds per_second: arrivals in the trailing span, this one included, per second. Rows meet by chunks of the span:
-    each chunk also gets the chunk before it, which is all that a trailing frame can reach."""
-    chunk = F.floor(F.col(at) / span_ms)
-    own = arrivals.withColumn("__own", F.lit(True)).withColumn("__c", chunk)
-    both = own.unionByName(arrivals.withColumn("__own", F.lit(False)).withColumn("__c", chunk + 1))
-    w = Window.partitionBy("__c").orderBy(at).rangeBetween(-span_ms, 0)
-    return both.withColumn("per_second", F.count("*").over(w) / F.lit(span_ms / 1000.0)).where("__own").drop("__own", "__c")
+    """Adds per_second: arrivals in the trailing span, this one included, per second. Arrivals at the same time count each
+    other, those without a time among themselves.
+
+    The number in the span is a running sum in which each arrival enters once and leaves once, so it costs the same
+    however many a span holds. Sums run by chunks, chunk_ms long (a span, if not given): beside its own rows a chunk gets
+    a row for each time that it opens with, and one for each at which something leaves the span within it."""
+    width = chunk_ms or span_ms
+    chunk = lambda t: F.floor(t / F.lit(width)).cast("long")
+    at_, in_, n, c = (F.col(x) for x in (at, "__in", "__n", "__c"))
+    own = arrivals.withColumns({"__c": chunk(at_), "__t": at_.cast("long"), "__n": F.lit(1).cast("long"), "__in": F.lit(True)})
+    met = arrivals.where(at_.isNotNull()).groupBy(at_.cast("long").alias("__t")).agg(F.count("*").alias("__n"))
+    left = F.col("__t") + F.lit(span_ms + 1)
+    reached = met.withColumn("__c", F.explode(F.sequence(chunk(F.col("__t")), chunk(left))))
+    # as a chunk opens, what came before it and hasn't left is a sum; what leaves within it goes at its own time
+    opens = reached.where(chunk(F.col("__t")) < c).select("__c", (c * width).alias("__t"), "__n")
+    opens = opens.groupBy("__c", "__t").agg(F.sum("__n").alias("__n"))
+    leaves = reached.where(chunk(left) == c).select("__c", left.alias("__t"), (-n).alias("__n"))
+    both = own.unionByName(opens.unionByName(leaves).withColumn("__in", F.lit(False)), allowMissingColumns=True)
+    w = Window.partitionBy("__c").orderBy("__t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("per_second", F.sum("__n").over(w) / F.lit(span_ms / 1000.0)).where(in_).drop("__c", "__t", "__n", "__in")
 
 
 def median_spacing(rows: DataFrame, key: list[str], default: int, last: int = 20) -> DataFrame:
