@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
@@ -75,6 +76,7 @@ class Vocabulary:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 text[p] = i
                 self.raw[i] = p.replace(SPACE, " ").encode()
+        self.bytes = pa.array(self.raw, pa.large_binary())
         if any("\n" in p or SPACE in p.lstrip(SPACE) for p in text):
             raise ValueError("a piece crosses a chunk's edge")
         rank = np.arange(self.size) + 10.0
@@ -119,37 +121,44 @@ class Lattices:
         cp = np.frombuffer("".join(chunks).encode("utf-32-le"), "<u4")
         n = len(cp)
         left = np.repeat(self.start + length, length) - np.arange(n)
-        ids = np.full((n, vocab.longest), -1, np.int32)
         point = cp.astype(np.uint64) + np.uint64(1)
         at, h = np.arange(n), np.zeros(n, np.uint64)
+        hits: list[tuple[np.ndarray, np.ndarray]] = []  # of each size, the positions of pieces and the pieces
+        count = np.ones(n, np.int64)
         for size in range(1, vocab.longest + 1):
             h = h * _P + point[at + size - 1]
             got = vocab.find(h)
-            ids[at, size - 1] = np.where(got >= 0, got, -1)
-            go = (got != -2) & (left[at] > size)
+            if size == 1:
+                hits.append((at, np.where(got >= 0, got, FALLBACK + cp.astype(np.int32))))
+            else:
+                hit = np.nonzero(got >= 0)[0]
+                hits.append((at[hit], got[hit]))
+                count[hits[-1][0]] += 1
+            go = np.nonzero((got != -2) & (left[at] > size))[0]
             at, h = at[go], h[go]
             if not len(at):
                 break
-        none = np.nonzero(ids[:, 0] < 0)[0]
-        ids[none, 0] = FALLBACK + cp[none].astype(np.int64)
-        order = np.argsort(left, kind="stable")
-        pos, size = np.nonzero((ids >= 0)[order])
-        pos = order[pos]
-        self.id = ids[pos, size]
-        self.size = size + 1
+        order = np.argsort(left.astype(np.uint16) if left.max(initial=0) < 1 << 16 else left, kind="stable")
+        many = count[order]
+        self.first = np.empty(n, np.int64)
+        self.first[order] = np.cumsum(many) - many
+        pos = np.repeat(order, many)
+        self.id, self.size = np.empty(len(pos), np.int32), np.empty(len(pos), np.int32)
+        free = self.first.copy()
+        for size, (p, got) in enumerate(hits, 1):
+            e = free[p]
+            self.id[e], self.size[e] = got, size
+            free[p] = e + 1
+        del hits
         self.next = pos + self.size
         w = np.empty(len(pos))
         plain = self.id < FALLBACK
         w[plain] = vocab.logp[self.id[plain]]
         c = self.id[~plain] - FALLBACK
         w[~plain] = (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)) * vocab.logp[-1]
-        count = np.bincount(pos, minlength=n)
-        self.first = np.empty(n, np.int64)
-        self.first[order] = np.cumsum(count[order]) - count[order]
         self.count = count
         z = np.zeros(n + 1)
-        tail = np.zeros(len(pos), bool)
-        tail[:] = left[pos] == self.size
+        tail = left[pos] == self.size
         reach = np.bincount(left, minlength=int(left.max(initial=0)) + 1)
         ends = np.cumsum(reach)
         for d in range(1, len(reach)):
@@ -163,10 +172,11 @@ class Lattices:
             z[p] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, count[p])), cut))
         self.last = tail
         self.logp = w + np.where(tail, 0.0, z[self.next]) - z[pos]
-        prob = np.exp(self.logp)
-        run = np.cumsum(prob)
-        base = np.concatenate([[0.0], run])[self.first[pos]]
-        self.upto = run - base
+        # sums within a position, so that a chunk's draws don't depend on the chunks beside it
+        self.upto = np.exp(self.logp)
+        for at in range(1, int(count.max(initial=0))):
+            e = self.first[count > at] + at
+            self.upto[e] += self.upto[e - 1]
         self.upto[self.first + count - 1] = 2.0  # the last edge takes what rounding leaves
 
     def sample(self, chunk: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -289,11 +299,19 @@ def decode(vocab: Vocabulary, ids: np.ndarray) -> bytes:
     return b"".join(map(vocab.raw.__getitem__, ids.tolist())).removeprefix(b" ")
 
 
+def decoded_crc32(vocab: Vocabulary, ids: np.ndarray, ends: np.ndarray) -> list[int]:
+    """crc32 of what decode returns for each run of ids; ends bound the runs, from 0. All are put together at once."""
+    text = vocab.bytes.take(pa.array(ids))
+    _, offs, data = text.buffers()
+    at, buf = np.frombuffer(offs, np.int64)[ends].tolist(), memoryview(data) if data is not None else memoryview(b"")
+    return [zlib.crc32(buf[a + (a < b and buf[a] == 32) : b]) for a, b in zip(at, at[1:])]
+
+
 def piece_ids(vocab: Vocabulary, lattice: Lattices, path: np.ndarray) -> np.ndarray:
     ids = lattice.id[path]
-    odd = np.nonzero(ids >= FALLBACK)[0]
-    if not len(odd):
+    if ids.max(initial=0) < FALLBACK:
         return ids.astype("<u4")
+    odd = np.nonzero(ids >= FALLBACK)[0]
     parts, last = [], 0
     cache_: dict[int, np.ndarray] = {}
     for i in odd.tolist():
@@ -308,15 +326,16 @@ def piece_ids(vocab: Vocabulary, lattice: Lattices, path: np.ndarray) -> np.ndar
 def sample_texts(vocab: Vocabulary, texts: list[bytes], seeds: np.ndarray, k: int) -> Iterator[list[tuple[np.ndarray, float, float]]]:
     """For each text its samples: ids, log-probability, log of the inclusion score."""
     words = [CHUNK.findall((SPACE + t.decode()).replace(" ", SPACE)) if t else [] for t in texts]
-    known = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(words)))}
+    known: defaultdict[str, int] = defaultdict()
+    known.default_factory = known.__len__
     chunk = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
-    lattice = Lattices(vocab, list(known)) if known else None
+    lattice = Lattices(vocab, list(known))
     n = np.array([len(w) for w in words], np.int64)
     offs = np.concatenate([[0], np.cumsum(n)])
     within = np.arange(offs[-1]) - np.repeat(offs[:-1], n)
     base = np.repeat(seeds, n)
     sampled = []
-    for j in range(k if known else 0):
+    for j in range(k if len(chunk) else 0):
         edges, cut = lattice.sample(chunk, mix64(base + (within + 1).astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7) + np.uint64(j * 0x2127599BF4325C37 & (1 << 64) - 1)))
         sampled.append((edges, cut, np.repeat(within, np.diff(cut))))
     for i in range(len(texts)):
@@ -357,12 +376,13 @@ def encode_sampled(docs: DataFrame, path: str, k: int = TOP_K) -> DataFrame:
                 rows, found = [], []
                 for d, samples in zip(ids[i:j], sample_texts(vocab, texts[i:j], seeds, k)):
                     for r, (s, logp, log_q) in enumerate(samples):
-                        rows.append((d, r, len(s), zlib.crc32(s), logp, log_q, zlib.crc32(decode(vocab, s))))
+                        rows.append((d, r, len(s), zlib.crc32(s), logp, log_q))
                         found.append(s)
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
-                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                cols.insert(2, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int32))))
+                ends, every = np.cumsum([0, *map(len, found)]), np.concatenate(found).view(np.int32)
+                cols.insert(2, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(every)))
+                cols.append(pa.array(decoded_crc32(vocab, every, ends), pa.int64()))
                 yield pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in OUT.split(", ")])
                 i = j
 
@@ -393,5 +413,5 @@ def decode_ids(encoded: DataFrame, path: str, column: str = "ids", out: str = "t
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of every segmentation: the ids themselves are made and left out of the result."""
-    return encode_sampled(table(spark, sf_dir, "documents"), default_path()).drop("ids")
+    """Every segmentation whole: its ids, which decode_ids turns into text, and their digests."""
+    return encode_sampled(table(spark, sf_dir, "documents"), default_path())
