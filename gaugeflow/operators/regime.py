@@ -96,15 +96,15 @@ def smooth(m: Regimes, dens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
         np.multiply(on, v[:, None], out=work)
         now = np.add.reduce(work, 0, out=ahead)
     fil, later = lik[:, :, 0], lik[::-1, :, 1]
-    # what comes after t, seen from t: the backward pass took t + 1 a step on
-    post = fil.copy()
-    post[:-1] *= moved[t - 2 :: -1, :, 1] if t > 1 else 1.0
-    total = post.sum(1, keepdims=True)
-    post /= total
-    moves = np.zeros((k, k, s))
+    post, moves = np.empty((t, k, s)), np.zeros((k, k, s))
     for a in range(0, t - 1, SLICE):
         b = min(a + SLICE, t - 1)
-        moves += np.einsum("tks,tls->kls", fil[a:b] / total[a:b], later[a + 1 : b + 1])
+        # what comes after a step, seen from it: the backward pass took the next one a step on
+        p = np.multiply(fil[a:b], moved[t - 1 - b : t - 1 - a, :, 1][::-1], out=post[a:b])
+        total = p.sum(1, keepdims=True)
+        p /= total
+        moves += np.einsum("tks,tls->kls", fil[a:b] / total, later[a + 1 : b + 1])
+    post[-1] = fil[-1]
     return post, moves * on[:, :, 0], np.log(scale[:, 0]).sum(0) + top.sum(0)
 
 
@@ -221,7 +221,7 @@ def _batches(rows: DataFrame, first: int, every: int, train: int):
     batch = lambda i: F.floor(i / F.lit(BATCH))
     rows = rows.where(high >= 0).withColumn("batch", F.explode(F.sequence(batch(low), batch(high))))
     spark = rows.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * spark.sparkContext.defaultParallelism)
     return rows.repartition(tasks, "station", "batch").groupBy("station", "batch")
 
 
