@@ -45,6 +45,7 @@ def stars(banded: DataFrame, scratch: Scratch) -> DataFrame:
     nodes hold has one lead, the node whose keys are held most often in sum, the least of such: among copies of one text
     that is the text they come from, to which they are more similar than to each other. Keys that mostly the same nodes
     hold so become one star."""
+    banded = banded.repartition("key")  # dealt once, for the count and for the join
     shared = banded.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where(F.col("lo") != F.col("hi")).select("key", "n")
     members = scratch.write(banded.join(shared.hint("shuffle_hash"), "key").select("key", "node", "n"), "sized")
     crowd = members.groupBy("node").agg(F.sum("n").alias("crowd"))

@@ -34,16 +34,19 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shingles(line: Column, width: int = WIDTH) -> Column:
-    """Hashes of the distinct shingles."""
-    every = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{width}}}))"), F.lit(1))
-    return F.array_distinct(F.when(F.char_length(line) <= width, F.array(F.xxhash64(line))).otherwise(F.transform(every, lambda s: F.xxhash64(s))))
+    """Hashes of the distinct shingles, cut from UTF-32, four bytes a code point. The encoded line is a lambda's variable:
+    a column would be copied for every shingle."""
+    starts = lambda b: F.sequence(F.lit(1), F.greatest(F.octet_length(b) - 4 * width + 1, F.lit(1)), F.lit(4))
+    every = lambda b: F.transform(starts(b), lambda i: F.xxhash64(F.substring(b, i, F.lit(4 * width))))
+    return F.array_distinct(F.transform(F.array(F.encode(line, "UTF-32")), every)[0])
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), pos, line: every line of every text; lines of white space alone are left out, they
     are never dropped."""
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", BREAK)).alias("pos", "line"))
-    return every.where(F.col("line").rlike(r"\S"))
+    # most lines begin with no white space, which their first character tells
+    return every.where((F.ascii("line") > 32) | F.col("line").rlike(r"\S"))
 
 
 def signatures(each: DataFrame, drawn: int | None = DRAWN) -> DataFrame:
@@ -55,30 +58,30 @@ def signatures(each: DataFrame, drawn: int | None = DRAWN) -> DataFrame:
     h = at.select("node", "n", "i", "bound", F.expr(f"xxhash64(substring(b, 2 * i + 1, {2 * WIDTH}))").alias("h"))
     # a line's first position is carried along, so that no line is without a row
     some = h.where((F.col("h") <= F.col("bound")) | (F.col("i") == 0)).select("node", "n", "h", F.when(F.col("h") <= F.col("bound"), F.pmod("h", F.lit(BINS)).cast("int")).alias("bin"))
-    return some.groupBy("node").agg(F.max("n").alias("n"), *[F.min(F.when(F.col("bin") == k, F.col("h"))).alias(f"r{k}") for k in range(BINS)])
+    return some.groupBy("node").agg(F.max("n").alias("n"), *[F.expr(f"min(h) FILTER (WHERE bin = {k})").alias(f"r{k}") for k in range(BINS)])
 
 
-def bands(signed: DataFrame) -> DataFrame:
-    """node, keys: one of each band with a filled register."""
+def _keys() -> Column:
+    """One of each band with a filled register."""
     band = lambda k: [F.col(f"r{i}") for i in range(k * ROWS, (k + 1) * ROWS)]
     key = lambda k: F.when(F.coalesce(*band(k)).isNotNull(), F.xxhash64(F.lit(k), *[F.coalesce(r, F.lit(0)) for r in band(k)]))
-    return signed.select("node", F.filter(F.array(*[key(k) for k in range(BINS // ROWS)]), lambda k: k.isNotNull()).alias("keys"))
+    return F.array_compact(F.array(*[key(k) for k in range(BINS // ROWS)])).alias("keys")
 
 
-def banded(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """node, keys of every distinct line."""
-    signed = scratch.write(signatures(lines(docs)), "signed")
+def banded(docs: DataFrame, met: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, keys of every distinct line. met: node and th of the lines of docs."""
     filled = sum((F.col(f"r{k}").isNotNull().cast("int") for k in range(BINS)), F.lit(0))
-    again = (F.col("n") > DRAWN) & (filled < FEW)
-    few = scratch.write(signed.where(again).select("node"), "few")
-    keys = bands(signed.where(~again))
-    n = few.count()
+    signed = scratch.write(signatures(lines(docs)).select("node", _keys(), ((F.col("n") > DRAWN) & (filled < FEW)).alias("again")), "signed")
+    few = scratch.write(signed.where("again").select("node"), "few")
+    keys, n = signed.where(~F.col("again")).select("node", "keys"), few.count()
     if n:
-        own = lines(docs).where(F.char_length("line") > DRAWN).join(F.broadcast(few) if n <= BROADCAST_ROWS else few, F.xxhash64("line") == F.col("node"), "left_semi")
-        keys = keys.unionByName(bands(signatures(own, None)))
-    out = scratch.write(keys, "keys")
-    scratch.drop(signed, few)
-    return out
+        small = lambda df: F.broadcast(df) if n <= BROADCAST_ROWS else df
+        # one text that holds each of them: no others are split again
+        holders = scratch.write(met.join(small(few), "node", "left_semi").groupBy("node").agg(F.min("th").alias("th")).select("th").distinct(), "holders")
+        held = docs.join(small(holders), F.xxhash64("text") == F.col("th"), "left_semi")
+        own = lines(held).where(F.octet_length("line") > DRAWN).join(small(few), F.xxhash64("line") == F.col("node"), "left_semi")
+        keys = keys.unionByName(scratch.write(signatures(own, None).select("node", _keys()), "keys"))
+    return keys
 
 
 def _score(texts: DataFrame, threshold: float):
@@ -134,18 +137,20 @@ def drop_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     met = lines(docs).select("doc_id", "th", "pos", F.xxhash64("line").alias("node"), F.crc32(F.col("line").cast("binary")).alias("crc"))
     met = scratch.write(met, "met")
-    keys = banded(docs, scratch)
+    keys = banded(docs, met, scratch)
     spokes = stars(keys.select("node", F.explode("keys").alias("key")), scratch)
+    scratch.only(met, spokes)
     who = scratch.write(spokes.select("node").unionByName(spokes.select(F.col("lead").alias("node"))).distinct(), "who")
     small = who.count() <= BROADCAST_ROWS
     own = lines(docs).select(F.xxhash64("line").alias("node"), "line").join(F.broadcast(who) if small else who, "node", "left_semi")
     texts = scratch.write(own.groupBy("node").agg(F.min("line").alias("line")), "texts")
-    scratch.drop(keys, who)
+    scratch.drop(who)
     found = link_stars(spokes, _score(texts, threshold), _blocks(threshold), scratch, 1 - threshold + 1e-9)
     scratch.only(met, found)
     place = F.struct("doc_id", "th", "pos")
     nodes = met.groupBy("node").agg(F.min(place).alias("at"), F.max(place).alias("last"), F.min("crc").alias("c1"), F.max("crc").alias("c2"))
-    every = nodes.where(F.col("c1") == F.col("c2")).join(found, "node", "left").select("node", "at", "last", F.coalesce("component", "node").alias("c"))
+    # a line that is met once and linked to none stays
+    every = nodes.where(F.col("c1") == F.col("c2")).join(found, "node", "left").where(F.col("component").isNotNull() | ~F.col("at").eqNullSafe(F.col("last"))).select("node", "at", "last", F.coalesce("component", "node").alias("c"))
     every = scratch.write(every, "every")
     first = every.groupBy("c").agg(F.min("at").alias("first"), F.max("last").alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("c", "first")
     classes = scratch.write(every.join(first, "c").select("node", F.col("first.doc_id").alias("first_doc"), F.col("first.th").alias("first_th"), F.col("first.pos").alias("first_pos")), "classes")
@@ -181,5 +186,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_kept and the sha256 of the text that is left, of every document."""
     docs, dropped = _with_dropped(table(spark, sf_dir, "documents").select("doc_id", "text"), THRESHOLD)
     text = F.coalesce("text", F.lit(""))
-    n = F.size(F.split(text, BREAK)).cast("long")
+    n = (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(BREAK), F.lit(""))) + 1).cast("long")
     return docs.select("doc_id", n.alias("n_lines"), (n - F.coalesce(F.when(F.col(dropped).isNotNull(), F.size(dropped)), F.lit(0))).alias("n_kept"), F.sha2(_left(text, dropped), 256).alias("kept_sha256"))

@@ -330,3 +330,24 @@ def test_recall_that_stays_low_is_an_error(spark, monkeypatch):
     df = spark.createDataFrame([(100 * i, [1.0, 0.001 * i]) for i in range(20)], "vec_id long, embedding array<double>")
     with pytest.raises(embeddings.RecallTooLow):
         embeddings.link(df)
+
+
+def test_repeated_characters_beyond_the_first_plane(spark):
+    """Lines of two code units a character that repeat themselves, shorter in characters than the positions drawn."""
+    a, b = "\U0001f600\U0001f601", "\U0001f602x\U0001f603"
+    docs = [(0, a * 25), (1, a * 30), (2, "other words\n" + a * 28), (3, b * 30), (4, b * 40), (5, "\U0001f600" * 20 + "y" * 60)]
+    got = {r["doc_id"]: r["text"] for r in linedup.clean(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == cleaned(docs) and got[1] == got[4] == "" and got[2] == "other words"
+
+
+def test_shingles_are_code_points_and_blank_lines_are_left_out(spark):
+    some = ["short", "exactly 10", "eleven char", "é\U0001f600" * 9, "aaaaaaaaaaaaaaa", " \t indented by white space", "\x01control", " no-break space", "x"]
+    df = spark.createDataFrame([(k, x + "\n \t\x0b\x0c\r \n") for k, x in enumerate(some)], "doc_id long, text string")
+    met = linedup.lines(df)
+    assert sorted(r["line"] for r in met.collect()) == sorted(some)
+    of = {r["line"]: r["s"] for r in met.select("line", linedup.shingles(F.col("line")).alias("s")).collect()}
+    for line, s in of.items():
+        assert len(s) == len(set(s)) == len(line_sets(line))
+    assert "regexp" not in linedup.shingles(F.col("line"))._jc.toString()
+    # a line of one shingle is the shingle of a longer line
+    assert of["aaaaaaaaaaaaaaa"] == spark.range(1).select(linedup.shingles(F.lit("a" * 10)).alias("s")).first()["s"]
