@@ -7,10 +7,14 @@ a text that may hold one of the vocabulary's special strings goes to the library
 
 from __future__ import annotations
 
+import json
 import os
-from itertools import chain
+import re
+import string
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import kept_by
 
@@ -18,6 +22,9 @@ from .common import kept_by
 MEMO_WORDS = 1_000_000
 #: Words of one call to the library.
 JOINED = 2000
+PUNCTUATION = string.punctuation.encode()
+#: Letters of ASCII and Latin-1 that are lower-case and composed already, so that normalizing leaves them as they are.
+SETTLED = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
 _OPEN: dict[str, "WordTokenizer"] = {}
 
 
@@ -27,7 +34,11 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.memo: dict[bytes, bytes] = {}
+        # the same vocabulary and merges on words that need no normalizing and no splitting but at white space
+        parts = json.loads(self.library.to_str()) | {"normalizer": None, "added_tokens": []}
+        parts["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+        self.settled = Tokenizer.from_str(json.dumps(parts))
+        self.memo: dict[bytes, bytes] = {b"": b""}
         self.memo_words = memo_words
         self.closes = np.zeros(self.library.get_vocab_size() + 1, bool)
         for word, i in self.library.get_vocab().items():
@@ -38,13 +49,13 @@ class WordTokenizer:
         found = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def _letters(self, words: list[bytes]) -> dict[bytes, bytes]:
+    def _letters(self, words: list[bytes], library) -> dict[bytes, bytes]:
         """Ids of words of letters alone. Each is one unit of the splitter and ends where an id closes a word, so many
         go to the library as one text."""
         out = {}
         for i in range(0, len(words), JOINED):
             some = words[i : i + JOINED]
-            ids = np.array(self.library.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(library.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = (np.nonzero(self.closes[ids])[0] + 1) * 4
             if len(cuts) != len(some):
                 out.update(zip(some, self._direct(some)))
@@ -53,35 +64,53 @@ class WordTokenizer:
             out.update(zip(some, (raw[a:b] for a, b in zip(cuts, cuts[1:]))))
         return out
 
+    def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that the memo lacks. ASCII punctuation after letters is a unit of its own, so these are encoded
+        each by itself."""
+        memo, cut, plain, settled, letters, direct, out = self.memo, {}, {}, [], [], [], {}
+        for w in words:
+            stem = w.rstrip(PUNCTUATION)
+            if len(stem) < len(w) and stem and (SETTLED(stem) or stem[-1:].isalpha()):
+                cut[w] = stem
+                plain[stem] = plain[w[len(stem) :]] = None
+            else:
+                plain[w] = None
+        for w in plain:
+            if w not in memo:
+                (settled if SETTLED(w) else letters if w.decode("utf-8", "replace").lower().isalpha() else direct).append(w)
+        out |= self._letters(settled, self.settled)
+        out |= self._letters(letters, self.library)
+        out.update(zip(direct, self._direct(direct)))
+        of = lambda w: out[w] if w in out else memo[w]
+        for w, stem in cut.items():
+            out[w] = of(stem) + of(w[len(stem) :])
+        return out
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each UTF-8 text, as little-endian unsigned 32-bit integers."""
-        words: list[list[bytes] | None] = []
-        for t in texts:
-            t = t.lower()  # ASCII only; the library lower-cases the rest
-            words.append(None if any(s in t for s in self.special) else t.split())
-        memo, more = self.memo, {}
-        new = set(chain.from_iterable(w for w in words if w)).difference(memo)
+        """Ids of each UTF-8 text, as little-endian unsigned 32-bit integers. Words are told apart and laid out as
+        columns; only those that differ are looked up."""
+        low = [t.lower() for t in texts]  # ASCII only; the library lower-cases the rest
+        whole = [i for i, t in enumerate(low) if any(s in t for s in self.special)]
+        for i in whole:
+            low[i] = b""
+        lists = pc.ascii_split_whitespace(pa.array(low, pa.large_binary()).view(pa.large_string()))
+        words = pc.dictionary_encode(lists.values)
+        known = words.dictionary.view(pa.large_binary()).to_pylist()
+        found = list(map(self.memo.get, known))
+        new = [w for w, ids in zip(known, found) if ids is None]
         if new:
-            stem = {w: w[:-1] for w in new if len(w) > 1 and w[-1:] in b".," and w[-2:-1].isalpha()}
-            plain = new.difference(stem)
-            plain.update(s for s in stem.values() if s not in memo)
-            plain.update(m for m in (b".", b",") if m not in memo)
-            letters = [w for w in plain if w.decode("utf-8", "replace").lower().isalpha()]
-            more = self._letters(letters)
-            plain = list(plain.difference(letters))
-            more.update(zip(plain, self._direct(plain)))
-            for w, s in stem.items():
-                more[w] = (memo.get(s) or more.get(s, b"")) + (memo.get(w[-1:]) or more[w[-1:]])
-            if len(memo) + len(more) <= self.memo_words:
-                memo.update(more)
-                more = {}
-        whole = [t for t, w in zip(texts, words) if w is None]
-        whole_ids = iter(self._direct(whole)) if whole else iter(())
-        if more:
-            get = lambda w: memo.get(w) if w in memo else more[w]
-        else:
-            get = memo.__getitem__
-        return [next(whole_ids) if w is None else b"".join(map(get, w)) for w in words]
+            more = self._new(new)
+            if len(self.memo) + len(more) <= self.memo_words:
+                self.memo.update(more)
+            found = [more[w] if ids is None else ids for w, ids in zip(known, found)]
+        ids = pa.array(found, pa.large_binary()).take(words.indices)
+        _, bounds, data = ids.buffers()
+        at = np.frombuffer(bounds, np.int64)[lists.offsets.to_numpy()].tolist() if len(ids) else [0] * (len(texts) + 1)
+        raw = data.to_pybytes() if data is not None else b""
+        out = [raw[a:b] for a, b in zip(at, at[1:])]
+        for i, got in zip(whole, self._direct([texts[i] for i in whole])):
+            out[i] = got
+        return out
 
 
 kept_by("tokens", _OPEN.clear)

@@ -147,3 +147,30 @@ def test_segments_join_without_loss():
         assert [s for s, _ in own] == np.cumsum([0, *[n for _, n in own]])[:-1].tolist() and sum(n for _, n in own) == len(d)
     seqs = [x[5] for x in out]
     assert seqs == sorted(seqs) and set(seqs) == set(range(max(seqs) + 1))
+
+
+def test_words_of_many_kinds_are_the_librarys():
+    """Punctuation after letters, letters that normalizing changes, digits, contractions and empty texts, at once and alone."""
+    words = ["osuellí%%%", "abc###", "it's.", "l'été,", "555-6996", "a&&&", "÷ß", "ÿ", "É", "é", "Σας...", "ΟΔΟΣ.", "ﬁn!", "İ.", "中文。", "x" * 300 + "!?", "...", "'s", "a's'", "»hola«", "mañana|", "\x1ca\x1f", "a b", "ö≮"]
+    texts = [" ".join(words), "", " \t\n", *words, " ".join(words), "<|endoftext|> " + words[0]]
+    for memo in (1_000_000, 0, 40):
+        t = tokens.WordTokenizer(tokens.default_path(), memo_words=memo)
+        for some in (texts, texts[::-1], [], [""]):
+            assert [np.frombuffer(g, "<u4").tolist() for g in t.encode([x.encode() for x in some])] == [LIBRARY.encode(x, add_special_tokens=False).ids for x in some]
+
+
+def test_words_are_looked_up_once_a_batch():
+    """However often a word comes, it is asked for once; punctuation after it is no other word to the library."""
+
+    class Asked(dict):
+        def get(self, w, *other):
+            asked.append(w)
+            return super().get(w, *other)
+
+    asked, t = [], tokens.WordTokenizer(tokens.default_path())
+    t.memo = Asked(t.memo)
+    direct, t._direct = t._direct, lambda words: sent.extend(words) or direct(words)
+    sent: list[bytes] = []
+    text = "mañana### the the the word%%% the word mañana. " * 50
+    assert np.frombuffer(t.encode([text.encode()] * 3)[1], "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert sorted(asked) == sorted({w.encode() for w in text.split()} | {b""}) and not {w for w in sent if w[:1].isalpha()}
