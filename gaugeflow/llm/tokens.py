@@ -7,7 +7,6 @@ a text that may hold one of the vocabulary's special strings goes to the library
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import string
@@ -22,6 +21,8 @@ from .common import kept_by
 MEMO_WORDS = 1_000_000
 #: Words of one call to the library.
 JOINED = 2000
+#: Bytes of the texts whose words are columns at once; a longer text stands alone.
+AT_ONCE = 2 << 20
 PUNCTUATION = string.punctuation.encode()
 #: Letters of ASCII and Latin-1 that are lower-case and composed already, so that normalizing leaves them as they are.
 SETTLED = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
@@ -31,13 +32,12 @@ _OPEN: dict[str, "WordTokenizer"] = {}
 class WordTokenizer:
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        # the same vocabulary and merges on words that need no normalizing and no splitting but at white space
-        parts = json.loads(self.library.to_str()) | {"normalizer": None, "added_tokens": []}
-        parts["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
-        self.settled = Tokenizer.from_str(json.dumps(parts))
+        # the same model, held once, on words that need no normalizing and no splitting but at white space
+        self.settled = Tokenizer(self.library.model)
+        self.settled.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.memo: dict[bytes, bytes] = {b"": b""}
         self.memo_words = memo_words
         self.closes = np.zeros(self.library.get_vocab_size() + 1, bool)
@@ -87,8 +87,17 @@ class WordTokenizer:
         return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each UTF-8 text, as little-endian unsigned 32-bit integers. Words are told apart and laid out as
-        columns; only those that differ are looked up."""
+        """Ids of each UTF-8 text, as little-endian unsigned 32-bit integers."""
+        out, i, size = [], 0, 0
+        for j, t in enumerate(texts):
+            if size and size + len(t) > AT_ONCE:
+                out += self._batch(texts[i:j])
+                i, size = j, 0
+            size += len(t)
+        return out + self._batch(texts[i:])
+
+    def _batch(self, texts: list[bytes]) -> list[bytes]:
+        """Words are told apart and laid out as columns; only those that differ are looked up."""
         low = [t.lower() for t in texts]  # ASCII only; the library lower-cases the rest
         whole = [i for i, t in enumerate(low) if any(s in t for s in self.special)]
         for i in whole:
@@ -106,10 +115,12 @@ class WordTokenizer:
         ids = pa.array(found, pa.large_binary()).take(words.indices)
         _, bounds, data = ids.buffers()
         at = np.frombuffer(bounds, np.int64)[lists.offsets.to_numpy()].tolist() if len(ids) else [0] * (len(texts) + 1)
-        raw = data.to_pybytes() if data is not None else b""
-        out = [raw[a:b] for a, b in zip(at, at[1:])]
+        raw = memoryview(data) if data is not None else b""
+        out = [bytes(raw[a:b]) for a, b in zip(at, at[1:])]
         for i, got in zip(whole, self._direct([texts[i] for i in whole])):
             out[i] = got
+        del lists, words, known, found, ids, data, raw
+        pa.default_memory_pool().release_unused()
         return out
 
 

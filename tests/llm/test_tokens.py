@@ -174,3 +174,22 @@ def test_words_are_looked_up_once_a_batch():
     text = "mañana### the the the word%%% the word mañana. " * 50
     assert np.frombuffer(t.encode([text.encode()] * 3)[1], "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
     assert sorted(asked) == sorted({w.encode() for w in text.split()} | {b""}) and not {w for w in sent if w[:1].isalpha()}
+
+
+def test_batches_of_words_are_bounded(monkeypatch):
+    """Texts go to Arrow a few at a time; the order and the ids stay."""
+    texts = [f"word{k} again, {'x' * (k % 50)}." for k in range(60)] + ["", "y " * 400, ""]
+    t, sizes = tokens.WordTokenizer(tokens.default_path()), []
+    batch, t._batch = t._batch, lambda some: sizes.append(sum(map(len, some))) or batch(some)
+    monkeypatch.setattr(tokens, "AT_ONCE", 100)
+    assert [np.frombuffer(g, "<u4").tolist() for g in t.encode([x.encode() for x in texts])] == [LIBRARY.encode(x, add_special_tokens=False).ids for x in texts]
+    assert sum(x > 100 for x in sizes) == 1 and len(sizes) > 10
+
+
+def test_packing_holds_one_model(spark):
+    """Both ways into the library share one model: a worker's memory isn't taken twice."""
+    t = tokens.WordTokenizer(tokens.default_path())
+    before = len(t.library.get_vocab())
+    assert t.settled.model.__class__ is t.library.model.__class__ and t.settled.get_vocab_size(False) == t.library.get_vocab_size(False) and before >= t.settled.get_vocab_size()
+    docs = spark.createDataFrame([(1, "osuellí%%% " * 3000), (2, None), (3, "É. <|ENDOFTEXT|> it's")], "doc_id long, text string")
+    check_pieces(packing.pack(docs, tokens.default_path(), 2).collect(), docs, 4096)
