@@ -40,19 +40,28 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     raise RuntimeError("the components didn't settle")
 
 
+#: Keys up to which they are sent to every executor (16 bytes each); beyond it they are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
 def stars(banded: DataFrame, scratch: Scratch) -> DataFrame:
     """banded: (key, node), distinct. (lead, node), distinct: the nodes that share a key with a lead. Each key that two
     nodes hold has one lead, the node whose keys are held most often in sum, the least of such: among copies of one text
     that is the text they come from, to which they are more similar than to each other. Keys that mostly the same nodes
     hold so become one star."""
-    banded = banded.repartition("key")  # dealt once, for the count and for the join
-    shared = banded.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where(F.col("lo") != F.col("hi")).select("key", "n")
-    members = scratch.write(banded.join(shared.hint("shuffle_hash"), "key").select("key", "node", "n"), "sized")
+    ends = banded.repartition("key").groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n"))
+    shared = scratch.write(ends.where(F.col("lo") != F.col("hi")), "shared")
+    # most keys have two nodes, which are their ends: only the others' nodes are looked up
+    many = shared.where(F.col("n") > 2).select("key", "n")
+    few = many.count() <= BROADCAST_ROWS
+    rest = banded.join(F.broadcast(many), "key") if few else banded.join(many.hint("shuffle_hash"), "key")
+    two = shared.where(F.col("n") == 2).select("key", F.explode(F.array("lo", "hi")).alias("node"), "n")
+    members = scratch.write(two.unionByName(rest.select("key", "node", "n")), "sized")
     crowd = members.groupBy("node").agg(F.sum("n").alias("crowd"))
     ranked = scratch.write(members.join(crowd, "node").select("key", "node", "crowd"), "ranked")
     lead = ranked.groupBy("key").agg(F.min(F.struct(-F.col("crowd"), "node")).alias("m")).select("key", F.col("m.node").alias("lead"))
     out = scratch.write(ranked.join(lead, "key").where(F.col("lead") != F.col("node")).select("lead", "node").distinct(), "stars")
-    scratch.drop(members, ranked)
+    scratch.drop(shared, members, ranked)
     return out
 
 
@@ -76,13 +85,16 @@ def link_stars(spokes: DataFrame, score: Callable[[DataFrame], DataFrame], block
     decided = scratch.write(score(spokes), "decided")
     found = scratch.write(components(decided.where("linked").select(F.col("lead").alias("a"), F.col("node").alias("b")), scratch), "found")
     of = lambda n, c: found.select(F.col("node").alias(n), F.col("component").alias(c))
-    rest = decided.drop("linked").join(of("node", "c"), "node", "left").join(of("lead", "cl"), "lead", "left")
+    # what the blocks are given comes by its spoke, for the stars that are compared alone
     own = [x for x in decided.columns if x not in ("lead", "linked", "size")]
-    rest = scratch.write(rest.select("lead", "size", *own, F.coalesce("c", "node").alias("c"), F.coalesce("cl", "lead").alias("cl")), "rest")
+    rest = decided.select("lead", "node", "sim", "size").join(of("node", "c"), "node", "left").join(of("lead", "cl"), "lead", "left")
+    rest = scratch.write(rest.select("lead", "node", "sim", "size", F.coalesce("c", "node").alias("c"), F.coalesce("cl", "lead").alias("cl")), "rest")
     open_ = F.col("c") != F.col("cl")
     leads = rest.groupBy("lead").agg(F.max(F.when(open_, F.col("sim"))).alias("most"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"), F.sum("size").alias("bytes"))
     leads = leads.where(F.col("most").isNotNull() & (F.col("lo") != F.col("hi"))).select("lead", "most", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("n"))
-    left = rest.join(leads, "lead").where(F.col("sim") <= F.col("most") + F.lit(reach))
+    left = rest.drop("size").join(leads, "lead").where(F.col("sim") <= F.col("most") + F.lit(reach))
+    if set(own) - {"node", "sim"}:
+        left = left.join(decided.drop("sim", "linked", "size"), ["lead", "node"])
     at = F.pmod(F.xxhash64("node", "lead"), F.col("n")).cast("int")
     every = F.sequence(F.lit(0), F.col("n") - 1)
     # an open node is left in its own row of blocks, and each node is right in its own column of them

@@ -2,7 +2,7 @@
 
 A line's set is its distinct character shingles (`WIDTH` code points at every position; a shorter line is one shingle),
 and lines whose exact Jaccard reaches the threshold are linked. Candidates come from one-permutation MinHash over every
-position of every line: shingle hashes fall into `BINS` bins, a bin's least hash is a register, and `ROWS` registers make
+byte of every line's UTF-8: hashes of `WIDTH` bytes fall into `BINS` bins, a bin's least hash is a register, and `ROWS` registers make
 a band. Only hashes under a bound that leaves about `DRAWN` of a line's positions are gathered (a register that is the
 least of some is the least of all), so a line's signature is one row of an aggregation, not an array of its shingles. A
 pair of similarity 0.8 shares no band with a probability of about 0.02. Candidates are decided by the exact Jaccard, and
@@ -33,12 +33,17 @@ BREAK = "\n"
 BROADCAST_ROWS = 1_000_000
 
 
-def shingles(line: Column, width: int = WIDTH) -> Column:
-    """Hashes of the distinct shingles, cut from UTF-32, four bytes a code point. The encoded line is a lambda's variable:
-    a column would be copied for every shingle."""
+def all_shingles(line: Column, width: int = WIDTH) -> Column:
+    """Hashes of the shingles at every position, cut from UTF-32, four bytes a code point. The encoded line is a lambda's
+    variable: a column would be copied for every shingle."""
     starts = lambda b: F.sequence(F.lit(1), F.greatest(F.octet_length(b) - 4 * width + 1, F.lit(1)), F.lit(4))
     every = lambda b: F.transform(starts(b), lambda i: F.xxhash64(F.substring(b, i, F.lit(4 * width))))
-    return F.array_distinct(F.transform(F.array(F.encode(line, "UTF-32")), every)[0])
+    return F.transform(F.array(F.encode(line, "UTF-32")), every)[0]
+
+
+def shingles(line: Column, width: int = WIDTH) -> Column:
+    """Hashes of the distinct shingles."""
+    return F.array_distinct(all_shingles(line, width))
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -50,14 +55,17 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def signatures(each: DataFrame, drawn: int | None = DRAWN) -> DataFrame:
-    """node, n (positions), r0 ... of the lines of each. A signature comes from UTF-16 units, two bytes each, so a
-    shingle is cut out in constant time; drawn=None gathers every position."""
-    units = each.select(F.xxhash64("line").alias("node"), F.encode("line", "UTF-16BE").alias("b")).withColumn("n", F.greatest(F.floor(F.octet_length("b") / 2).cast("int") - (WIDTH - 1), F.lit(1)))
+    """node, n (positions), r0 ... of the lines of each. A signature comes from the bytes of UTF-8, `WIDTH` of
+    them from every byte on, so a shingle is cut out in constant time; drawn=None gathers every position."""
+    units = each.select(F.xxhash64("line").alias("node"), F.col("line").cast("binary").alias("b")).withColumn("n", F.greatest(F.octet_length("b") - (WIDTH - 1), F.lit(1)))
     bound = F.lit((1 << 63) - 1) if drawn is None else F.when(F.col("n") <= drawn, F.lit((1 << 63) - 1)).otherwise((F.lit(-(2.0**63)) + F.lit(2.0**64 * drawn) / F.col("n")).cast("long"))
-    at = units.select("node", "n", "b", bound.alias("bound"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    h = at.select("node", "n", "i", "bound", F.expr(f"xxhash64(substring(b, 2 * i + 1, {2 * WIDTH}))").alias("h"))
+    # a column of its own below the positions: else it is worked out for each of them
+    units = units.withColumn("bound", bound)
+    at = units.select("node", "n", "b", "bound", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
+    # the zero is not deterministic to the optimizer, which else moves the filter below and hashes what passes it twice
+    h = at.select("node", "n", "i", "bound", F.expr(f"xxhash64(substring(b, i, {WIDTH})) ^ CAST(spark_partition_id() & 0 AS BIGINT)").alias("h"))
     # a line's first position is carried along, so that no line is without a row
-    some = h.where((F.col("h") <= F.col("bound")) | (F.col("i") == 0)).select("node", "n", "h", F.when(F.col("h") <= F.col("bound"), F.pmod("h", F.lit(BINS)).cast("int")).alias("bin"))
+    some = h.where((F.col("h") <= F.col("bound")) | (F.col("i") == 1)).select("node", "n", "h", F.when(F.col("h") <= F.col("bound"), F.pmod("h", F.lit(BINS)).cast("int")).otherwise(-1).alias("bin"))
     return some.groupBy("node").agg(F.max("n").alias("n"), *[F.expr(f"min(h) FILTER (WHERE bin = {k})").alias(f"r{k}") for k in range(BINS)])
 
 
@@ -86,16 +94,19 @@ def banded(docs: DataFrame, met: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _score(texts: DataFrame, threshold: float):
     """The exact Jaccard of each spoke, and how its set differs from the lead's. A lead's set is made once, a node's once
-    a spoke."""
+    a spoke. The only spoke of a star is compared with nothing else, so its differences are counted and left out."""
+    none = F.expr("CAST(array() AS ARRAY<BIGINT>)")
 
     def score(spokes: DataFrame) -> DataFrame:
-        heads = texts.join(spokes.select(F.col("lead").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("lead"), shingles(F.col("line")).alias("hl"))
+        heads = texts.join(spokes.groupBy(F.col("lead").alias("node")).agg(F.count("*").alias("n")), "node").select(F.col("node").alias("lead"), "n", shingles(F.col("line")).alias("hl"))
         own = spokes.join(texts, "node").select("lead", "node", "line")
-        both = own.join(heads, "lead").select("lead", "node", "hl", shingles(F.col("line")).alias("hn"))
-        apart = both.select("lead", "node", F.size("hl").alias("whole"), F.array_except("hl", "hn").alias("less"), F.array_except("hn", "hl").alias("more"))
+        # array_except drops repeats, so a node's hashes may hold them
+        both = own.join(heads, "lead").select("lead", "node", "n", "hl", all_shingles(F.col("line")).alias("hn"))
+        apart = both.select("lead", "node", "n", F.size("hl").alias("whole"), F.array_except("hl", "hn").alias("less"), F.array_except("hn", "hl").alias("more"))
         common, union = F.col("whole") - F.size("less"), F.col("whole") + F.size("more")
         counted = apart.withColumns({"sim": common / union, "linked": common / union >= threshold, "size": 8 * (F.size("less") + F.size("more"))})
-        return counted.select("lead", "node", "sim", "linked", "size", "whole", "less", "more")
+        kept = lambda c: F.when(F.col("n") > 1, F.col(c)).otherwise(none).alias(c)
+        return counted.select("lead", "node", "sim", "linked", "size", "whole", kept("less"), kept("more"))
 
     return score
 
@@ -147,15 +158,14 @@ def drop_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     scratch.drop(who)
     found = link_stars(spokes, _score(texts, threshold), _blocks(threshold), scratch, 1 - threshold + 1e-9)
     scratch.only(met, found)
-    place = F.struct("doc_id", "th", "pos")
-    nodes = met.groupBy("node").agg(F.min(place).alias("at"), F.max(place).alias("last"), F.min("crc").alias("c1"), F.max("crc").alias("c2"))
     # a line that is met once and linked to none stays
-    every = nodes.where(F.col("c1") == F.col("c2")).join(found, "node", "left").where(F.col("component").isNotNull() | ~F.col("at").eqNullSafe(F.col("last"))).select("node", "at", "last", F.coalesce("component", "node").alias("c"))
-    every = scratch.write(every, "every")
-    first = every.groupBy("c").agg(F.min("at").alias("first"), F.max("last").alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("c", "first")
-    classes = scratch.write(every.join(first, "c").select("node", F.col("first.doc_id").alias("first_doc"), F.col("first.th").alias("first_th"), F.col("first.pos").alias("first_pos")), "classes")
-    here = F.expr("doc_id <=> first_doc") & (F.col("th") == F.col("first_th")) & (F.col("pos") == F.col("first_pos"))
-    gone = met.select("doc_id", "th", "pos", "node").join(classes, "node").where(~here)
+    counts = met.groupBy("node").agg(F.count("*").alias("n"), F.min("crc").alias("c1"), F.max("crc").alias("c2"))
+    again = counts.where(F.col("c1") == F.col("c2")).join(found, "node", "left").where(F.col("component").isNotNull() | (F.col("n") > 1))
+    again = scratch.write(again.select("node", F.coalesce("component", "node").alias("c")), "again")
+    small = F.broadcast if again.count() <= BROADCAST_ROWS else (lambda df: df)
+    places = scratch.write(met.join(small(again), "node").select("c", F.struct("doc_id", "th", "pos").alias("at")), "places")
+    first = scratch.write(places.groupBy("c").agg(F.min("at").alias("first")), "first")
+    gone = places.join(small(first), "c").where(~F.col("at").eqNullSafe(F.col("first"))).select("at.*")
     out = scratch.write(gone.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("pos")).alias("dropped")), "gone")
     scratch.only(out)
     return out

@@ -351,3 +351,83 @@ def test_shingles_are_code_points_and_blank_lines_are_left_out(spark):
     assert "regexp" not in linedup.shingles(F.col("line"))._jc.toString()
     # a line of one shingle is the shingle of a longer line
     assert of["aaaaaaaaaaaaaaa"] == spark.range(1).select(linedup.shingles(F.lit("a" * 10)).alias("s")).first()["s"]
+
+
+def test_each_position_is_hashed_once(spark):
+    """What passes the bound isn't hashed again, and the bound is worked out once a line, below the positions."""
+    df = spark.createDataFrame([(1, "a line of some length, and a few words of it more")], "doc_id long, text string")
+    plan = linedup.signatures(linedup.lines(df))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64(substring(") == 1
+    assert plan.index("Generate explode(sequence") < plan.index("CASE WHEN (n#")
+
+
+def test_recall_of_lines_of_other_scripts(spark):
+    """Pairs planted at a Jaccard of 0.8 to 0.85 in characters of one to four bytes."""
+    rng, docs, kind = random.Random(5), [], {}
+    letters = {"latin": "abcdefghijklmnopqrstuvwxyzäöüßéèñ", "cyrillic": "абвгдежзийклмнопрстуфхцчшщыэюя", "han": "".join(chr(0x4E00 + i) for i in range(800)), "emoji": "abcdefghijklmnopqrstuvwxyz"}
+    for name, of in letters.items():
+        edits = ["\U0001f600", "\U0001f603", "’"] if name == "emoji" else ["é", "Ж", "的", "x"]
+        while sum(k == name for k in kind.values()) < 300:
+            line = " ".join("".join(rng.choice(of) for _ in range(rng.randrange(2, 9))) for _ in range(rng.choice([8, 15, 40])))
+            other = list(line)
+            for _ in range(rng.randrange(1, 2 + len(line) // 60)):
+                other[rng.randrange(len(other))] = rng.choice(edits)
+            other = "".join(other)
+            a, b = line_sets(line), line_sets(other)
+            if 0.8 <= len(a & b) / len(a | b) <= 0.85:
+                kind[len(docs) + 1] = name
+                docs += [(len(docs), line), (len(docs) + 1, other)]
+    gone = {r["doc_id"] for r in linedup.drop_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert gone <= set(kind)
+    for name in letters:
+        assert sum(kind[i] == name for i in gone) >= 0.95 * 300, name
+
+
+def test_lone_spokes_carry_no_differences(spark):
+    """A star of two nodes has nothing left to compare; its similarity is exact all the same."""
+    base = "the quick brown fox jumps over the lazy dog and runs away from it"
+    texts = [(0, base), (1, base + "!"), (2, "aaaaaaaaaaaaaaaaaaaaaaaaaa"), (3, base), (4, base + "?"), (5, "x" + base)]
+    df = spark.createDataFrame(texts, "node long, line string")
+    score = linedup._score(df, 0.8)(spark.createDataFrame([(0, 1), (3, 4), (3, 5), (4, 2)], "lead long, node long"))
+    got = {(r["lead"], r["node"]): r for r in score.collect()}
+    s = {n: line_sets(x) for n, x in texts}
+    for (a, b), r in got.items():
+        assert r["sim"] == len(s[a] & s[b]) / len(s[a] | s[b]) and r["linked"] == (r["sim"] >= 0.8) and r["whole"] == len(s[a])
+        assert (len(r["less"]), len(r["more"])) == ((len(s[a] - s[b]), len(s[b] - s[a])) if a == 3 else (0, 0))
+        assert r["size"] == 8 * len(s[a] ^ s[b])
+    assert len(got) == 4
+
+
+@pytest.mark.parametrize("rows", [0, 1_000_000])
+def test_leads_of_stars(spark, monkeypatch, rows):
+    """Each key of two nodes or more has one lead, whether the larger keys are sent to all or joined by shuffle."""
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", rows)
+    rng = random.Random(8)
+    held = {(k, rng.randrange(60)) for k in range(80) for _ in range(rng.choice([1, 2, 2, 3, 9]))}
+    of = {}
+    for k, n in held:
+        of.setdefault(k, set()).add(n)
+    crowd = Counter()
+    for nodes in of.values():
+        if len(nodes) > 1:
+            crowd.update({n: len(nodes) for n in nodes})
+    want = set()
+    for nodes in of.values():
+        lead = min(nodes, key=lambda n: (-crowd[n], n))
+        want |= {(lead, n) for n in nodes if n != lead}
+    df = spark.createDataFrame(sorted(held), "key long, node long").repartition(3)
+    assert sorted((r["lead"], r["node"]) for r in graph.stars(df, Scratch(spark)).collect()) == sorted(want)
+
+
+def test_lines_joined_by_shuffle_alone(spark, monkeypatch):
+    """Nothing is sent to every executor: what holds beyond BROADCAST_ROWS."""
+    monkeypatch.setattr(linedup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", 0)
+    rng = random.Random(12)
+    pool = [prose(rng, 12).replace("\n", " ") for _ in range(15)] + ["ab" * 200, "ab" * 300, "short"]
+    pool += [p[:40] + "#" + p[41:] for p in pool[:12]] + [p + "!" for p in pool[:12]]
+    docs = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 9)))) for i in range(25)] + [(98, None), (99, "")]
+    df = spark.createDataFrame(docs + docs[:3], "doc_id long, text string").repartition(3)
+    want = cleaned(docs)
+    rows = linedup.clean(df).collect()
+    assert len(rows) == len(docs) + 3 and all(r["text"] == want[r["doc_id"]] for r in rows)
